@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import chat, decontamination
+from .chat import op4_chat
 from .decontamination import op6_decontamination
 from .packing import op7_packing
 from .secrets import op1_secrets
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat": op4_chat,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.ORACLE_SQL,
     "op6_decontamination": decontamination.ORACLE_SQL,
 }
