@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontamination
 from .chat import op4_chat
 from .decontamination import op6_decontamination
+from .lines import op9_lines
 from .packing import op7_packing
 from .secrets import op1_secrets
 from .toxicity import op3_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op9_lines": op9_lines,
 }
 
 ORACLE_SQL: dict[str, str] = {
