@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontamination
 from .chat import op4_chat
 from .decontamination import op6_decontamination
+from .jaccard import op8_jaccard
 from .lines import op9_lines
 from .packing import op7_packing
 from .secrets import op1_secrets
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
+    "op8_jaccard": op8_jaccard,
     "op9_lines": op9_lines,
 }
 
