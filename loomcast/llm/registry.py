@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination
+from . import chat, decontamination, embeddings
 from .chat import op4_chat
 from .decontamination import op6_decontamination
+from .embeddings import op5_embeddings
 from .jaccard import op8_jaccard
 from .lines import op9_lines
 from .packing import op7_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_chat": op4_chat,
+    "op5_embeddings": op5_embeddings,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_jaccard": op8_jaccard,
@@ -27,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.ORACLE_SQL,
+    "op5_embeddings": embeddings.ORACLE_SQL,
     "op6_decontamination": decontamination.ORACLE_SQL,
 }
