@@ -14,10 +14,12 @@ from .jaccard import op8_jaccard
 from .lines import op9_lines
 from .packing import op7_packing
 from .secrets import op1_secrets
+from .substrings import op2_substrings
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
     "op4_chat": op4_chat,
     "op5_embeddings": op5_embeddings,
