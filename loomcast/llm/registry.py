@@ -13,6 +13,7 @@ from .embeddings import op5_embeddings
 from .jaccard import op8_jaccard
 from .lines import op9_lines
 from .packing import op7_packing
+from .passages import op10_passages
 from .secrets import op1_secrets
 from .substrings import op2_substrings
 from .toxicity import op3_toxicity
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_jaccard": op8_jaccard,
     "op9_lines": op9_lines,
+    "op10_passages": op10_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
