@@ -22,15 +22,23 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare, read_table, words_of
+from .common import prepare, read_table, stored, words_of
 
 WINDOW = 10
 #: Bytes of item text whose windows one pass holds in a task's memory.
 BLOCK_BYTES = 8 << 20
 
-HITS = "row_id long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
-RESULT = "row_id long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = [
+    T.StructField("n_words", T.LongType()),
+    *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends", "items")),
+]
+RESULT = [
+    *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")),
+    T.StructField("items_sha256", T.StringType()),
+    T.StructField("contaminated", T.BooleanType()),
+]
 
 
 def windows_of(items: list[tuple], size: int) -> dict[tuple, set]:
@@ -107,58 +115,56 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
 
 
 def find_hits(docs: DataFrame, windows: dict[tuple, set]) -> DataFrame:
+    """The rows with their hits of this block added to those of blocks before: HITS behind the other columns."""
     counts = rarity(docs, {w for window in windows for w in window})
     shared = docs.sparkSession.sparkContext.broadcast(prefix_index(windows, counts))
+    names = [f.name for f in HITS]
+    own = [c for c in docs.columns if c not in names]
+    at, earlier = own.index("text"), names[1] in docs.columns
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
+            before = zip(*(batch.column(len(own) + i).to_pylist() for i in (1, 2, 3)), strict=True) if earlier else None
             rows = []
-            for row, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for text in batch.column(at).to_pylist():
                 words = words_of(text)
                 spans, items = hits(words, index)
+                if before is not None:
+                    starts, ends, found = next(before)
+                    spans, items = spans + list(zip(starts, ends, strict=True)), items | set(found)
                 spans = joined(spans)
-                rows.append((row, key, len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
+                rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
+            kinds = [pa.int64()] + [pa.list_(pa.int64())] * 3
+            made = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
+            yield pa.record_batch([*(batch.column(i) for i in range(len(own))), *made], names=[*own, *names])
 
-    return docs.select("row_id", "doc_id", "text").mapInArrow(match, HITS)
+    return docs.mapInArrow(match, T.StructType([*(docs.schema[c] for c in own), *HITS]))
 
 
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the spans of a document to its counts."""
-    for batch in batches:
-        rows = []
-        for row, key, n, starts, ends, items in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            hit = sum(b - a for a, b in joined(list(zip(starts, ends, strict=True))))
-            names = sorted(map(str, set(items)))
-            rows.append((row, key, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: its words, the words inside any window's occurrence, and the items concerned."""
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns `keep` of each document row, and RESULT: its words, those inside any window's occurrence, the items."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_id", F.lit(0).cast("long"))
-    parts = [windows_of(block, size) for block in blocks_of(benchmark, block_bytes)]
-    if len(parts) > 1:  # rows of a document meet again after the passes, so repeated doc_ids need their own number
-        docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    found = [find_hits(docs, w) for w in parts]
-    if len(found) == 1:
-        merged = found[0]
-    else:
-        union = found[0].withColumn("block", F.lit(0))
-        for k, more in enumerate(found[1:], 1):
-            union = union.unionByName(more.withColumn("block", F.lit(k)))
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  a document's own hits only
-        merged = union.groupBy("row_id", "doc_id").agg(
-            F.max("n_words").alias("n_words"), flat("starts"), flat("ends"), flat("items"), F.count_if(F.col("block") == 0).alias("copies")
-        )
-        merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
-    return merged.mapInArrow(summed, RESULT).drop("row_id")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    for k, block in enumerate(blocks_of(benchmark, block_bytes)):
+        rows = find_hits(stored(rows, "hits") if k else rows, windows_of(block, size))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            n_words, starts, ends, items = (batch.column(len(keep) + i).to_pylist() for i in range(4))
+            for n, s, e, found in zip(n_words, starts, ends, items, strict=True):
+                names = sorted(map(str, found))
+                hit = sum(e) - sum(s)
+                made.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [()] * 5, kinds, strict=True)]
+            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), *columns], names=[*keep, *(f.name for f in RESULT)])
+
+    kept = rows.select(*keep, *(f.name for f in HITS))
+    return kept.mapInArrow(summed, T.StructType([*(kept.schema[c] for c in keep), *RESULT]))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
