@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.patterns import BY_NAME
 from ..functions.text import word_count
 
-BY_ITEM = Window.partitionBy("video_id").orderBy("seg_idx")
-SO_FAR = BY_ITEM.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_item():
+    return Window.partitionBy("video_id").orderBy("seg_idx")
+
+
+def so_far():
+    return by_item().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def pauses(segments: DataFrame, min_gap: float = 3.0) -> DataFrame:
     """Silences of min_gap seconds and more, at their middle; longer ones are surer."""
-    before = F.lag("end").over(BY_ITEM)
+    before = F.lag("end").over(by_item())
     gap = F.col("start") - F.col("before")
     return segments.withColumn("before", before).where(gap >= min_gap).select(
         "video_id", (F.col("before") + gap / 2).alias("timestamp"), F.lit("significant_pause").alias("trigger_type"),
@@ -28,10 +33,10 @@ def merged(segments: DataFrame, max_gap: float = 1.0, max_length: int = 200) ->
     Gaps and sentence ends do not depend on what was merged before, so windows find them; only the length needs a
     fold, and that runs over the fragments of one sentence.
     """
-    ended = F.lag("text").over(BY_ITEM).rlike(r"[.!?]\s*\z")
-    gap = F.col("start") - F.coalesce(F.lag("end").over(BY_ITEM), F.col("start"))
+    ended = F.lag("text").over(by_item()).rlike(r"[.!?]\s*\z")
+    gap = F.col("start") - F.coalesce(F.lag("end").over(by_item()), F.col("start"))
     cut = F.when((gap > max_gap) | F.coalesce(ended, F.lit(False)), 1).otherwise(0)
-    parts = segments.withColumn("cut", cut).withColumn("sentence", F.sum("cut").over(SO_FAR))
+    parts = segments.withColumn("cut", cut).withColumn("sentence", F.sum("cut").over(so_far()))
     part = F.struct("seg_idx", "start", "end", "text")
     parts = parts.groupBy("video_id", "sentence").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     zero = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("pieces"))
@@ -56,13 +61,13 @@ def merged(segments: DataFrame, max_gap: float = 1.0, max_length: int = 200) ->
 
 def paragraphs(segments: DataFrame, gap: float = 2.0) -> DataFrame:
     """Segments as paragraphs: a new one after a pause or when another known speaker takes over."""
-    last = BY_ITEM.rowsBetween(Window.unboundedPreceding, -1)
+    last = by_item().rowsBetween(Window.unboundedPreceding, -1)
     speaker = F.nullif(F.col("speaker"), F.lit(""))
     before = F.last(speaker, ignorenulls=True).over(last)
     change = speaker.isNotNull() & ~speaker.eqNullSafe(before)
-    pause = F.col("start") - F.coalesce(F.lag("end").over(BY_ITEM), F.lit(0.0)) > gap
-    rows = segments.withColumn("flag", F.when(change | pause, 1).otherwise(0)).withColumn("who", F.last(speaker, ignorenulls=True).over(SO_FAR))
-    rows = rows.withColumn("flag", F.when(F.row_number().over(BY_ITEM) == 1, 0).otherwise(F.col("flag"))).withColumn("paragraph", F.sum("flag").over(SO_FAR))
+    pause = F.col("start") - F.coalesce(F.lag("end").over(by_item()), F.lit(0.0)) > gap
+    rows = segments.withColumn("flag", F.when(change | pause, 1).otherwise(0)).withColumn("who", F.last(speaker, ignorenulls=True).over(so_far()))
+    rows = rows.withColumn("flag", F.when(F.row_number().over(by_item()) == 1, 0).otherwise(F.col("flag"))).withColumn("paragraph", F.sum("flag").over(so_far()))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda p: p["text"]), " ")
     return rows.groupBy("video_id", "paragraph").agg(
         F.min_by("start", "seg_idx").alias("start"), F.max_by("end", "seg_idx").alias("end"), F.max_by("who", "seg_idx").alias("speaker"),

@@ -10,7 +10,14 @@ from ..functions.text import stamp_seconds
 
 SEGMENTS = "video_id string, seg_idx int, start double, end double, text string, speaker string"
 JSON3 = "events array<struct<tStartMs: bigint, dDurationMs: bigint, segs: array<struct<utf8: string>>>>"
-TRANSCRIPT = T.StructType.fromDDL("start double, end double, text string, speaker string")
+TRANSCRIPT = T.StructType(
+    [
+        T.StructField("start", T.DoubleType()),
+        T.StructField("end", T.DoubleType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("speaker", T.StringType()),
+    ]
+)
 CUE = r"(?s)(\d{2}:\d{2}:\d{2}\.\d{3}) --> (\d{2}:\d{2}:\d{2}\.\d{3})\n(.*?)(?=\n\n|\z)"
 
 
