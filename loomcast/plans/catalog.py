@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.session import reach_package, scratch
 from ..functions.patterns import Family
 from ..operators import clusters, entities, merging, search, timeline, triggers
 from ..sources import tables as S
+from ..streaming import live
 from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,3 +425,39 @@ def readable_frames(spark, d):
     parts = S.table(spark, d, "pages").select(F.col("page_id").alias("image"), F.posexplode(F.split("url", "/")).alias("p", "text"))
     blocks = parts.select("image", (F.col("p") + 1).alias("block_idx"), "text", (((F.col("image") + F.col("p") + 1) % 10) / 10.0).alias("confidence"))
     return merging.readable_frames(merging.recognised_text(blocks))
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a file stream of mentions."""
+    kind = S.table(spark, d, "events").schema
+    raw = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    return raw.select((F.col("user_id") % 4).alias("video_id"), F.col("event_type").alias("entity_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("start"))
+
+
+@query(f"""WITH {MEN} SELECT CAST(video_id AS BIGINT) AS video_id, entity_id, count(*) AS mention_count, min(start) AS first_seen, max(start) AS last_seen FROM men GROUP BY 1, 2""")
+def stream_entities(spark, d):
+    out = scratch(spark, "stream-entities")
+    live.upserted(live.running_entities(_event_stream(spark, d)), f"{out}/rows", f"{out}/state").awaitTermination()
+    got = spark.read.parquet(f"{out}/rows")
+    newest = got.groupBy("video_id", "entity_id").agg(F.max_by(F.struct("mention_count", "first_seen", "last_seen"), "version").alias("x"))
+    return newest.select("video_id", "entity_id", "x.*")
+
+
+@query(f"""WITH {MEN}, {NEAR} SELECT DISTINCT CAST(video_id AS VARCHAR) AS video_id, entity_a, entity_b FROM near""")
+def stream_cooccurrence(spark, d):
+    reach_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = scratch(spark, "stream-pairs")
+    live.appended(live.new_pairs(_event_stream(spark, d)), f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.schema(live.PAIRS).parquet(f"{out}/rows").select("video_id", "entity_a", "entity_b")
+
+
+@query("""SELECT event_id, event_type, ts FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE event_type = 'click'""")
+def event_history(spark, d):
+    return live.recent_events(S.table(spark, d, "events"), "click").select("event_id", "event_type", "ts")
+
+
+@query("""SELECT page_id, 'LIVE_20240131_101530_' || substr(md5(url), 1, 8) AS stream_id FROM pages""")
+def stream_ids(spark, d):
+    started = F.to_timestamp(F.lit("2024-01-31 10:15:30"))
+    return S.table(spark, d, "pages").select("page_id", live.stream_id(F.col("url"), started).alias("stream_id"))

@@ -79,6 +79,17 @@ def upserted(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+def recent_events(history: DataFrame, event_type: str | None = None, most: int = 100) -> DataFrame:
+    """The last `most` events, of one kind if asked; events of one time by their id."""
+    last = history.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+    return last if event_type is None else last.where(F.col("event_type") == event_type)
+
+
+def stream_id(url, started):
+    """LIVE_, the time it started, and eight characters of its address's hash."""
+    return F.concat(F.lit("LIVE_"), F.date_format(started, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5(url), 1, 8))
+
+
 def chunk_number(name):
     """The number in a chunk's file name, as chunk_0012."""
     return F.regexp_extract(name, r"chunk_(\d+)", 1).cast("int")
