@@ -1,10 +1,10 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
 Texts are folded first: compatibility forms, accents, look-alike letters of other scripts and digits that stand for
-letters.  The lexicon (word beginnings and whole words with weights) is learned from labelled training documents: each
-term's document counts by label over all of them (copies share one count) give a smoothed log-odds weight, and only terms that are far more
-frequent in toxic documents stay, at most `LEXICON_TERMS`.  A text's score is a logistic function of its
-weighted matches, plain and normalised by length; matches inside exception phrases do not count.
+letters.  The lexicon (word beginnings with weights) is learned from a bounded number of labelled documents: each
+term's document counts by label (copies share one count) give a smoothed log-odds weight, and only terms that are far
+more frequent in toxic documents stay, at most LEXICON_TERMS.  A text's score is a logistic function of its weighted
+matches, plain and normalised by length; matches inside exception phrases do not count.
 
 Defined results: null or empty texts score like any text without matches; documents without a label train nothing; a
 document labelled twice counts once for each label row; with no toxic training document no term is learned and every
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, read_table, stored
 
@@ -45,7 +46,7 @@ LEXICON_TERMS = 5000
 MIN_DOCS, MIN_SHARE = 5, 0.01
 #: A term stays if its documents are toxic this much more often than documents are, in log-odds.
 MIN_WEIGHT = 2.5
-#: Labelled rows on which the two slopes and the offset of the score are fitted.
+#: The classifier is fitted on this many labelled rows at most, those of least hash.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
 
@@ -167,8 +168,7 @@ def weighted(labelled: DataFrame) -> DataFrame:
 def learn(labelled: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Weights of the lexicon and of the score from (doc_id, text, toxic) rows.
 
-    Counts go over all rows; the lexicon kept has at most LEXICON_TERMS terms; the score's three numbers are fitted
-    on at most FIT_ROWS rows, those of least hash.
+    The lexicon kept has at most LEXICON_TERMS terms; with at most FIT_ROWS rows, features fit the driver.
     """
     prepare(labelled.sparkSession)
     counts = weighted(labelled).mapInArrow(count_terms, "term string, toxic double, other double")
@@ -195,40 +195,44 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], np.ndarray]:
         # a longer term adds nothing where its beginning is in the lexicon and as telling
         if not any(term[:k] in weights and weights[term[:k]] >= value - 0.7 for k in range(SHORTEST, len(term))):
             weights[term] = float(value)
-    sample = labelled.select("text", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS)
-    features = stored(featured(sample.select("doc_id", "text", F.lit(None).cast("boolean").alias("held_out"), F.col("toxic").cast("double").alias("label")), weights), "toxic-fit")
+    features = featured(labelled.select("doc_id", "text", F.col("toxic").cast("double").alias("label")), weights)
     got = features.select("label", "f0", "f1").toPandas()
     return weights, fit(got[["f0", "f1"]].to_numpy(float), (got["label"] > 0).to_numpy(float))
 
 
 def featured(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The rows with the two features f0 and f1 of their column `text` behind all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most LEXICON_TERMS terms
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
         for batch in batches:
-            got = [lexicon.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array([x for x, _ in got], pa.float64()), pa.array([y for _, y in got], pa.float64())],
-                names=["doc_id", "held_out", "label", "f0", "f1"],
-            )
+            got = [lexicon.features(t) for t in batch.column(at).to_pylist()]
+            made = [pa.array([x for x, _ in got], pa.float64()), pa.array([y for _, y in got], pa.float64())]
+            yield pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, "f0", "f1"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, label double, f0 double, f1 double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in ("f0", "f1"))]))
 
 
-def toxicity(docs: DataFrame, weights: dict[str, float], score: np.ndarray) -> DataFrame:
-    """doc_id, held_out, score and predicted for each document row; the text alone decides the score."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.lit(0.0).alias("label"))
+def toxicity(docs: DataFrame, weights: dict[str, float], score: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, held_out, score and predicted for each document row; the text alone decides the score."""
+    prepare(docs.sparkSession)
     z = F.lit(float(score[0])) + F.lit(float(score[1])) * F.col("f0") + F.lit(float(score[2])) * F.col("f1")
-    return featured(rows, weights).select(
-        "doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score")
-    ).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    rows = featured(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), weights)
+    out = rows.select(*keep, held_out().alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out third."""
-    known = labels.select(F.col("doc_id").alias("label_id"), "toxic").where("toxic is not null").where(~held_out("label_id"))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    """At most FIT_ROWS labelled documents outside the held-out third, those of least hash of their doc_id.
+
+    The bound makes the ids small enough to send to every task (under 1 MB), so texts are not shuffled.
+    """
+    known = labels.select(F.col("doc_id").alias("label_id"), "toxic").where("doc_id is not null and toxic is not null").where(~held_out("label_id"))
+    known = stored(known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(FIT_ROWS), "labels")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    return stored(found.select("doc_id", "text", "toxic"), "labelled")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
