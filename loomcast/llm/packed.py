@@ -18,23 +18,37 @@ from pyspark.sql import functions as F
 SCHEMA = "bucket int, payload binary"
 
 
-def dump(*arrays: np.ndarray) -> bytes:
+def narrow(a: np.ndarray) -> tuple[np.ndarray, int]:
+    """64-bit whole numbers as offsets from their least one, in as few bytes as hold them."""
+    if a.ndim != 1 or a.dtype.kind not in "iu" or a.itemsize < 8 or not len(a):
+        return a, 0
+    low = int(a.min())
+    span = int(a.max()) - low
+    kind = next((k for k in ("<u1", "<u2", "<u4") if span <= np.iinfo(k).max), None)
+    return (a, 0) if kind is None else ((a - a.dtype.type(low)).astype(kind), low)
+
+
+def dump(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string; a 2-dimensional array keeps its width."""
     parts = []
     for a in arrays:
+        small, low = narrow(a)
         width = a.shape[1] if a.ndim == 2 else 0
-        parts += [struct.pack("<4sqq", a.dtype.str[1:].encode().ljust(4), len(a), width), np.ascontiguousarray(a).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        kinds = (x.dtype.str[1:].encode().ljust(4) for x in (a, small))
+        parts += [struct.pack("<4s4sqqQ", *kinds, len(a), width, low % (1 << 64)), np.ascontiguousarray(small).tobytes()]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def load(payload: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
     while at < len(raw):
-        kind, n, width = struct.unpack_from("<4sqq", raw, at)
-        at += 20
-        dtype = np.dtype(kind.decode().strip())
-        a = np.frombuffer(raw, dtype, n * (width or 1), at)
+        kind, held, n, width, low = struct.unpack_from("<4s4sqqQ", raw, at)
+        at += 32
+        dtype, small = (np.dtype(k.decode().strip()) for k in (kind, held))
+        a = np.frombuffer(raw, small, n * (width or 1), at)
         at += a.nbytes
+        if small != dtype:
+            a = (a.astype(np.uint64) + np.uint64(low)).view(np.uint64).astype(dtype)
         out.append(a.reshape(n, width) if width else a)
     return out
 
@@ -43,7 +57,7 @@ def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
 
-def dealt(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+def dealt(buckets: np.ndarray, arrays: list[np.ndarray], level: int = 1) -> pa.RecordBatch:
     """One row per bucket that occurs, with the records of each array that go there."""
     order = np.argsort(buckets, kind="stable")
     buckets, arrays = buckets[order], [a[order] for a in arrays]
@@ -51,7 +65,7 @@ def dealt(buckets: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
     starts, ends = np.r_[0, cuts], np.r_[cuts, len(buckets)]
     if not len(buckets):
         return batch_of([])
-    return batch_of([(int(buckets[s]), dump(*(a[s:e] for a in arrays))) for s, e in zip(starts, ends, strict=True)])
+    return batch_of([(int(buckets[s]), dump(*(a[s:e] for a in arrays), level=level)) for s, e in zip(starts, ends, strict=True)])
 
 
 def exchange(rows: DataFrame, buckets: int) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, read_table
+from .common import mix64, prepare, read_table, release, stored
 from .packed import SCHEMA, batch_of, dealt, dump, exchange, load
 
 WINDOW, TOKEN = 50, 16
@@ -216,9 +216,8 @@ def bucket_of(lead: tuple[np.ndarray, np.ndarray], splitters: np.ndarray) -> np.
 
 
 def mark_of(text: bytes) -> int:
-    """A signed hash that tells the texts of rows with one doc_id apart."""
-    h = xxhash.xxh64_intdigest(text)
-    return h - (1 << 64) if h >> 63 else h
+    """A hash that tells the texts of rows with one doc_id apart."""
+    return xxhash.xxh32_intdigest(text)
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -300,7 +299,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 who, s, e = joined(owner[gone], pos[gone], pos[gone] + count[gone] - 1 + WINDOW)
                 yield batch_of([(int(who[0]) % suffix_buckets, dump(ids[who], marks[who], s, e))])
             where = bucket_of((words(rows[sent], LEFT), words(rows[sent], LEFT + 8)), splits)
-            yield dealt(where, [doc[sent], marks[owner[sent]], pos[sent], left[sent], count[sent], rows[sent]])
+            yield dealt(where, [doc[sent], marks[owner[sent]], pos[sent], left[sent], count[sent], rows[sent]], level=3)
 
     def address(ids, marks, start, end) -> pa.RecordBatch:
         return dealt((mix64(ids.view(np.uint64)) % np.uint64(doc_buckets)).astype(np.int32), [ids, marks, start, end])
@@ -329,7 +328,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             for b in np.unique(where):
                 mine = np.flatnonzero(where == b)
                 data = np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)
-                rows.append((int(b), dump(ids[mine], known[mine], np.array([len(texts[i]) for i in mine]), data, np.zeros(1))))
+                rows.append((int(b), dump(ids[mine], known[mine], np.array([len(texts[i]) for i in mine]), data, np.zeros(1), level=3)))
             yield batch_of(rows)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +366,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     removed = exchange(docs.mapInArrow(send, SCHEMA), suffix_buckets).mapInArrow(meet, SCHEMA)
+    removed = stored(removed, "removed")
+    release(spark)  # the suffixes have served
     both = docs.mapInArrow(texts_of, SCHEMA).unionByName(removed)
     return exchange(both, doc_buckets).mapInArrow(remove, RESULT)
 
