@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Nulls link nothing, loops and repeated edges change nothing, no edges give no rows.
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now = stored(pairs.where(f"{a} is not null and {b} is not null" if (a, b) != ("a", "b") else "a is not null and b is not null").where("a <> b").distinct(), "edges")
+    now = stored(pairs.where("a <> b").distinct(), "edges")  # of a null and a node both are the node
     state = _state(now)
     while state[0]:
         before, old = state, now
