@@ -295,6 +295,20 @@ def test_line_dedup_is_native(spark, capsys):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_lines_meet_beside_a_foreign_hub(spark, monkeypatch):
+    # six classes share two blocks: the hub (least h1) and two strangers are far from all, 2 and 3 and 5 and 6 are near
+    base = 0x0123456789ABCDEF
+    sims = {1: base ^ (0x3F << 26), 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FF << 40), 5: base ^ (0x7F << 53), 6: base ^ (0x7F << 53) ^ (1 << 27)}
+    classes = spark.createDataFrame(list(sims.items()), "h1 long, sim long")
+    none = spark.createDataFrame([], "node long, component long")
+    for size in (1000, 2):
+        monkeypatch.setattr(lines, "BUCKET_ROWS", size)
+        buckets = lines.bucket_rows(classes)
+        assert sorted(tuple(r) for r in lines.open_pairs(buckets, none).collect()) == [(3, 2), (6, 5)]
+        joined = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
+        assert [tuple(r) for r in lines.open_pairs(buckets, joined).collect()] == [(6, 5)]
+
+
 def test_passages(spark, corpus):
     got = by_id(passages.near_passages(docs(spark, [(i, t) for i, t in corpus if i != 83])))
     for i in range(75, 80):
