@@ -337,6 +337,17 @@ def test_compact_windows_are_cartesian_nodes():
     assert {(p, a, b) for p, a, b in zip(place.tolist(), low.tolist(), high.tolist(), strict=True)} == {(c, min(s), max(s)) for c, s in want.items()}
 
 
+def test_chains_of_a_passage_repeated_often():
+    # under two hashes, one window of document 1 meets twenty of document 2, either way round
+    got = np.array([(1, 2, k, k, 5 + k, 100 * i + 5 + k, 0, 100 * i, 10, 100 * i + 10) for k in range(2) for i in range(20)], np.int64).T
+    want = [(1, 2, 5, 6, 100 * i + 5, 100 * i + 6) for i in range(20)]
+    assert sorted(zip(*(x.tolist() for x in passages.chained(list(got), 2)), strict=True)) == want
+    back = [got[i] for i in (0, 1, 2, 3, 5, 4, 7, 6, 9, 8)]
+    want = [(1, 2, x, y, 5, 6) for *_, x, y in want]
+    assert sorted(zip(*(x.tolist() for x in passages.chained(back, 2)), strict=True)) == want
+    assert not len(passages.chained([x[:20] for x in got], 2)[0])
+
+
 def test_verified_finds_parts():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**31, 300).astype(np.uint32)
