@@ -13,6 +13,7 @@ score is the prior; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -158,12 +159,19 @@ def fit(features: np.ndarray, labels: np.ndarray, steps: int = 60) -> np.ndarray
     return w
 
 
+def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a hash of their whole folded text, blanks aside, equal for copies."""
+    for batch in batches:
+        folded = [" ".join(fold(t or "").split()) for t in batch.column(0).to_pylist()]
+        same = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in folded]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.binary())], names=["text", "toxic", "same"])
+
+
 def weighted(labelled: DataFrame) -> DataFrame:
-    """(text, toxic, weight): documents that begin and end alike share one weight of 1, so copies teach no terms."""
-    text = F.coalesce("text", F.lit(""))
-    rows = labelled.select("text", "toxic", F.xxhash64(F.left(text, F.lit(60)), F.right(text, F.lit(60))).alias("ends"))
-    sizes = rows.groupBy("ends").agg(F.count("*").alias("n"))
-    return rows.join(sizes, "ends").select("text", "toxic", (1.0 / F.col("n")).alias("weight"))
+    """(text, toxic, weight): documents with equal folded texts share one weight of 1, so copies teach no terms."""
+    rows = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(copies, "text string, toxic long, same binary")
+    sizes = rows.groupBy("same").agg(F.count("*").alias("n"))
+    return rows.join(sizes, "same").select("text", "toxic", (1.0 / F.col("n")).alias("weight"))
 
 
 def learn(labelled: DataFrame) -> tuple[dict[str, float], np.ndarray]:

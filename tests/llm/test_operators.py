@@ -129,6 +129,13 @@ def test_substrings_equal_brute_force(spark, corpus):
             assert r.n_removed == 0
 
 
+def test_copies_are_equal_in_whole(spark):
+    head, foot = "the common header of this source " * 3, " and the common footer of this source" * 3
+    rows = [(f"{head}{body}{foot}", 1) for body in ("one thing", "another thing", "Another  THING")]
+    got = toxicity.weighted(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    assert sorted(r.weight for r in got) == [0.5, 0.5, 1.0]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []
