@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
-Candidates are maximal runs of 16 and more characters of the base-64 families that touch no pattern match.  Each is
-given the smallest encoding that holds its characters, and three tests look for order in it: chi-squared uniformity
+Candidates are maximal runs of 16 and more characters of the base-64 families that touch no pattern match; of a run
+that mixes + or / with - or _, the maximal stretches of either family, which may overlap.  Each is given the smallest encoding that holds its characters, and three tests look for order in it: chi-squared uniformity
 over the alphabet, Wald-Wolfowitz runs about the median symbol, and lag-1 serial correlation.  Their combined p-value
 (Fisher) must not reject randomness.  As a short string passes such tests by lack of power, a second p-value asks how
 likely *ordinary text* of this length is to look as uniform: the noncentral chi-squared whose noncentrality comes from
@@ -50,7 +50,9 @@ ALPHABETS = (
 REJECT, FDR = 1e-3, 1e-3
 #: Steps of the histogram of -log10 p: width and number.
 STEP, STEPS = 0.01, 4000
-MIN_CLASSES = 2  # a candidate has at least two of: digits, capitals, small letters
+#: What base64url and base64 lack; a run with characters of both is cut at either.
+CUTS = (re.compile("[+/]"), re.compile("[_-]"))
+MIN_RUN = 16
 
 PASS = "doc_id long, spans array<struct<kind:int,start:long,end:long>>, found array<struct<start:long,end:long,enc:int,chi2:double,p_random:double>>, bytes array<long>"
 
@@ -73,6 +75,20 @@ def encoding_of(run: str) -> int:
     return next((i for i, (_, letters) in enumerate(ALPHABETS) if have <= set(letters)), -1)
 
 
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the runs; a run that mixes the families gives the maximal stretches of each, by start, without repeats."""
+    for m in RUN.finditer(text):
+        start, run = m.start(), m[0]
+        if not all(cut.search(run) for cut in CUTS):
+            yield m.span()
+            continue
+        found = set()
+        for cut in CUTS:
+            ends = [-1, *(c.start() for c in cut.finditer(run)), len(run)]
+            found |= {(start + s + 1, start + e) for s, e in zip(ends, ends[1:]) if e - s - 1 >= MIN_RUN}
+        yield from sorted(found)
+
+
 def battery(run: str, enc: int) -> tuple[float, float]:
     """Chi-squared against uniformity, and the combined p-value of the three tests under randomness."""
     letters = ALPHABETS[enc][1]
@@ -115,11 +131,9 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             total += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
             base, tested = base_spans(text), []
-            for m in RUN.finditer(text):
-                start, end = m.span()
-                run = m[0]
-                kinds = (run.lower() != run) + (run.upper() != run) + any(c.isdigit() for c in run)
-                if kinds < MIN_CLASSES or (enc := encoding_of(run)) < 0 or any(s < end and start < e for _, s, e in base):
+            for start, end in stretches(text):
+                run = text[start:end]
+                if (enc := encoding_of(run)) < 0 or any(s < end and start < e for _, s, e in base):
                     continue
                 tested.append((start, end, enc, *battery(run, enc)))
             ids.append(key)

@@ -129,6 +129,17 @@ def test_substrings_equal_brute_force(spark, corpus):
             assert r.n_removed == 0
 
 
+def test_secret_candidates_are_whole():
+    import pyarrow as pa
+
+    token, word = "Ab3-x_9Kq7ZtR-w2LmN_5vYc8dHj0PsQ", "q8Zr+T4m/W9xKc2Vb7Yn"
+    text = f"see host/reset/{token} or {word}-hyphenated_word and 83920174650291837465 or QWZRTPLKMNBVCXYG"
+    rows = next(secrets.scan([pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])])).to_pylist()
+    found = {text[x["start"] : x["end"]]: secrets.ALPHABETS[x["enc"]][0] for x in rows[0]["found"]}
+    assert found[token] == "base64url" and found[word] == "base64"
+    assert found["83920174650291837465"] == "decimal" and found["QWZRTPLKMNBVCXYG"] == "base32"
+
+
 def test_copies_are_equal_in_whole(spark):
     head, foot = "the common header of this source " * 3, " and the common footer of this source" * 3
     rows = [(f"{head}{body}{foot}", 1) for body in ("one thing", "another thing", "Another  THING")]
