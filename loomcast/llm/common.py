@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +23,7 @@ WORD_TABLE = bytes(
 )
 
 _FALLBACK: list[str] = []
+_STARTED: list[SparkSession] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,37 +41,62 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """This application's folder below the one that driver and executors share (spark.checkpoint.dir).
+
+    Only a session of one machine may leave that unset; on a cluster, a folder of our own would be another on each machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append(tempfile.mkdtemp(prefix="loomcast-"))
-    return f"file://{_FALLBACK[0]}"
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _FALLBACK:
+            _FALLBACK.append(tempfile.mkdtemp(prefix="loomcast-"))
+        found = f"file://{_FALLBACK[0]}"
+    return f"{found.rstrip('/')}/loomcast-{spark.sparkContext.applicationId}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query are deleted when it ends; a lost executor's are made again while it runs."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a result to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write a result to the shared folder and read it back: lineage is cut, shuffle files go, lost executors cost nothing."""
     spark = df.sparkSession
+    if not _STARTED:
+        _STARTED.append(spark)
+        atexit.register(clear, spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a stored() frame once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the files behind stored() frames once nothing reads them any more."""
+    for df in frames:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, parent)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that shuffle files of finished jobs are deleted before the next one."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored; results that read it are void then.  Called when Python ends."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, shared_dir(spark))
 
 
 def text_or_empty(name: str = "text"):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, read_table, release, stored
+from .common import mix64, prepare, read_table, stored
 from .packed import SCHEMA, batch_of, dealt, dump, exchange, load
 
 WINDOW, TOKEN = 50, 16
@@ -366,8 +366,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     removed = exchange(docs.mapInArrow(send, SCHEMA), suffix_buckets).mapInArrow(meet, SCHEMA)
-    removed = stored(removed, "removed")
-    release(spark)  # the suffixes have served
+    removed = stored(removed, "removed")  # the suffixes leave the disk here, before the texts move
     both = docs.mapInArrow(texts_of, SCHEMA).unionByName(removed)
     return exchange(both, doc_buckets).mapInArrow(remove, RESULT)
 

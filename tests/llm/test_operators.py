@@ -314,19 +314,68 @@ def test_line_dedup_is_native(spark, capsys):
 
 
 def test_lines_meet_beside_a_foreign_hub(spark, monkeypatch):
-    # six classes share two blocks: the hub (least h1) and two strangers are far from all, 2 and 3 and 5 and 6 are near
+    # one bucket: the hub 1 is far from all, 2 and 3 and 5 and 6 are near, 4 is a stranger, 7 is near 2 but much longer
     base = 0x0123456789ABCDEF
-    sims = {1: base ^ (0x3F << 26), 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FF << 40), 5: base ^ (0x7F << 53), 6: base ^ (0x7F << 53) ^ (1 << 27)}
-    classes = spark.createDataFrame(list(sims.items()), "h1 long, sim long")
+    sims = {1: base ^ 0xFFFFF0, 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FFF << 46), 5: base ^ (0x7FFFFFF << 30), 6: base ^ (0x7FFFFFF << 30) ^ 2, 7: base}
+    rows = [(9, i, s, 400 if i == 7 else 100) for i, s in sims.items()]
+    met = spark.createDataFrame(rows, "key long, h1 long, sim long, chars int")
     none = spark.createDataFrame([], "node long, component long")
+    buckets = lines.with_hubs(met)
+    assert {r.hub for r in buckets.collect()} == {1}
     for size in (1000, 2):
         monkeypatch.setattr(lines, "BUCKET_ROWS", size)
-        buckets = lines.bucket_rows(classes)
         assert sorted(tuple(r) for r in lines.open_pairs(buckets, none).collect()) == [(3, 2), (6, 5)]
         joined = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
         assert [tuple(r) for r in lines.open_pairs(buckets, joined).collect()] == [(6, 5)]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_of_some_edits_meet_as_by_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 5, 7, 9]))) for _ in range(300)]
+    texts = []
+    for k in range(160):
+        line = [rng.choice(vocabulary) for _ in range((8, 12, 20, 40)[k % 4])]
+        texts.append(" ".join(line))
+        for _ in range(1 + (k % 4 == 3)):  # long lines get two edits
+            at = rng.randrange(len(line))
+            line[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [line[at], rng.choice(vocabulary)]])
+        texts.append(" ".join(line))
+    near = [(i, j) for j in range(320) for i in range(j) if min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j]))]
+    near = [(i, j) for i, j in near if j == i + 1 or len(set(texts[i].split()) & set(texts[j].split())) >= 4]
+    want = {j for i, j in near if edit_distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j]))}
+    assert len(want) > 100
+    got = {r.doc_id for r in lines.dedup_lines(docs(spark, list(enumerate(texts)))).where("__removed = 1").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_more_partitions_for_fewer_words():
+    assert lines.partitions(6) > lines.partitions(12) > lines.partitions(20)
+    assert sorted(sum(lines.rounds(), [])) == list(range(lines.partitions(lines.FEW_WORDS)))
+    for p in range(lines.partitions(lines.FEW_WORDS)):
+        low = [m % (1 << 64) for m in lines.masks(p)]
+        assert len(set(low)) == 15 and all(21 <= m.bit_count() <= 22 for m in low)
+
+
+def test_common_lines_and_very_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 5)  # so that the common line counts as one that a third of all lines are
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(70_000)]
+    rows = [(i, f"the common line of all the documents\n{sentence(rng, 30, 10**6)}") for i in range(30)]
+    rows += [(40, " ".join(long)), (41, " ".join([*long[:500], "other", *long[501:]]))]
+    got = by_id(lines.dedup_lines(docs(spark, rows)))
+    assert [got[i].__getattr__("__removed") for i in range(30)] == [0] + [1] * 29
+    assert (got[40]["__removed"], got[41]["__removed"]) == (0, 1)
+
+
 def test_passages(spark, corpus):
     got = by_id(passages.near_passages(docs(spark, [(i, t) for i, t in corpus if i != 83])))
     for i in range(75, 80):
