@@ -3,10 +3,14 @@
 Rotations for balanced binary codes are learned on a bounded sample (`FIT_ROWS` vectors of least hash); every vector is
 indexed.  A code's bits are cut into substrings, one table each; substrings grow with the logarithm of the number of
 vectors, so buckets keep their size, and there are as many tables (hence rotations) as it takes to find a pair at the
-threshold with the target probability.  A bucket's vectors are compared in double precision inside a worker; a pair
-counts in the first table in which it meets.  Large buckets are cut into blocks and block pairs go to different tasks.
+threshold with the target probability.  Vectors of a length that one block holds need no tables and are compared all.
 
-Equal vectors are one class with a count, so copies are never compared.  Only counts and a spanning forest leave a
+Tables are sent sketches, a byte for each component with the length of the rounding error, instead of vectors.  In a
+bucket, sketches whose cosine can reach the threshold, given both errors, are tied; ties give candidate groups.  Each
+group's vectors are sent once and all pairs of the group compared in double precision inside workers.  Large buckets and
+groups are cut into blocks, and block pairs go to different tasks.
+
+Equal vectors are one class with a count, so copies are never compared.  Only ties, counts and a spanning forest leave a
 worker, and components are joined from the latter.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is
@@ -54,9 +58,9 @@ def plan(n: int, d: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def substrings(unit: np.ndarray, rotations: list[np.ndarray], centre: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def substrings(unit: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """The tables' keys of each vector, from the codes of all rotations side by side."""
-    code = np.concatenate([(unit - centre) @ r >= 0 for r in rotations], axis=1)
+    code = np.concatenate([np.zeros((len(unit), 0), bool), *(unit @ r >= 0 for r in rotations)], axis=1)
     out = np.zeros((len(unit), tables), np.uint64)
     for t in range(tables):
         for b in code[:, t * bits : (t + 1) * bits].T:
@@ -74,47 +78,114 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-INDEXED = "table int, key long, rep long, copies long, dim int, keys binary, vector binary"
+def sketch(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers of one byte in proportion to each vector, after its scale, and the length of the rounding error."""
+    scale = np.abs(unit).max(1) / 127
+    small = np.rint(unit / scale[:, None])
+    error = np.linalg.norm(unit - small * scale[:, None], axis=1)
+    head = np.column_stack([scale, error * (1 + 1e-5)]).astype("<f4").view(np.uint8)
+    return np.concatenate([head, small.astype(np.int8).view(np.uint8)], axis=1), error
+
+
+INDEXED = "table int, key long, dim int, rep long, sketch binary"
+KEYS = ["dim", "table", "key"]
+CELL = ["low", "high", "block"]
 LINKS = "rep long, links long, hub long"
 
 
-def compare(threshold: float):
+def cells(rows: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """Rows of each key in the pairs of its blocks, one if `large` (keys, blocks) does not have it; a key's pair in one task."""
+    cut = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    names = [*keys, *CELL, *(c for c in rows.columns if c not in keys)]
+    return cut.select(*names).repartition(*keys, "low", "high").sortWithinPartitions(*keys, "low", "high")
+
+
+def blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    return sizes.select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def flushed(found: list[tuple], names: list[str]) -> pa.RecordBatch:
+    made = [np.concatenate(x) for x in zip(*found, strict=True)]
+    found.clear()
+    return pa.record_batch([pa.array(x) for x in made], names=names)
+
+
+def tie(threshold: float):
+    """Ties (a, b) between the vectors of a bucket whose sketches let their cosine reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .jaccard import roots
 
         found: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            made = [np.concatenate(x) for x in zip(*found, strict=True)]
-            found.clear()
-            return pa.record_batch([pa.array(x) for x in made], names=["rep", "links", "hub"])
-
-        for (_, table, _, low, high), rows in groups(batches, 5):
+        for (*_, low, high), rows in groups(batches, 5):
             if len(rows) < 2:
                 continue
-            block, rep, copies = rows.column(5).to_numpy(), rows.column(6).to_numpy(), rows.column(7).to_numpy()
-            keys = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(len(rows), -1)
-            x = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.float64).reshape(len(rows), -1)
-            linked = x @ x.T >= threshold
+            block, rep = rows.column(5).to_numpy(), rows.column(6).to_numpy()
+            raw = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(len(rows), -1)
+            scale, error = raw[:, :8].copy().view("<f4").T
+            near = raw[:, 8:].view(np.int8).astype(np.float32) * scale[:, None]
+            # both vectors are of length 1, so the cosine is off by no more than both errors and their product
+            slack = error[:, None] + error[None, :] + error[:, None] * error[None, :] + np.float32(1e-5)
+            linked = near @ near.T >= np.float32(threshold) - slack
             np.fill_diagonal(linked, False)
             if low != high:
                 linked &= block[:, None] != block[None, :]
-            if not linked.any():
-                continue
             hub = rep[roots(linked)]
-            for t in range(table):  # a pair that met in an earlier table has been counted there
-                i, j = np.nonzero(linked)
-                linked[i, j] = keys[i, t] != keys[j, t]
-            some = np.flatnonzero((hub != rep) | linked.any(1))
-            found.append((rep[some], (linked[some] @ copies.astype(float)).astype(np.int64), hub[some]))
+            some = hub != rep
+            if some.any():
+                found.append((rep[some], hub[some]))
             if len(found) >= 256:
-                yield flush()
+                yield flushed(found, ["a", "b"])
         if found:
-            yield flush()
+            yield flushed(found, ["a", "b"])
 
     return run
 
 
+def compare(threshold: float):
+    """Links of the vectors of a candidate group, and each one's hub in a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .jaccard import roots
+
+        found: list[tuple] = []
+        for (_, low, high), rows in groups(batches, 3):
+            block, rep, copies = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            column = rows.column(6).combine_chunks()
+            x = matrix(column, len(column[0]))
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            linked = x @ x.T >= threshold
+            np.fill_diagonal(linked, False)
+            if low != high:
+                linked &= block[:, None] != block[None, :]
+            hub, some = rep[roots(linked)], linked.any(1)
+            if some.any():
+                found.append((rep[some], (linked[some] @ copies.astype(float)).astype(np.int64), hub[some]))
+            if len(found) >= 256:
+                yield flushed(found, ["rep", "links", "hub"])
+        if found:
+            yield flushed(found, ["rep", "links", "hub"])
+
+    return run
+
+
+def models_of(classes: DataFrame, threshold: float, recall: float) -> dict[int, tuple]:
+    """Bits, tables and rotations for each vector length of which there are more than a block; no model: one bucket."""
+    sizes = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).collect()
+    models = {}
+    for d, n in ((r.dim, r.n) for r in sizes):
+        sample = classes.where(F.size("embedding") == d).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").toPandas()
+        x = np.array(sample["embedding"].tolist(), np.float64).reshape(-1, d)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        bits, tables = plan(n, d, threshold, recall)
+        models[d] = (bits, tables, [learn_rotation(x, seed) for seed in range(math.ceil(bits * tables / d))])
+    return models
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -122,49 +193,33 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(usable()).where("vec_id is not null")
     classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    sizes = {r.dim: r.n for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").limit(64).collect()}
-    models = {}
-    for d, n in sizes.items():
-        sample = classes.where(F.size("embedding") == d).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").toPandas()
-        x = np.array(sample["embedding"].tolist(), np.float64).reshape(-1, d)
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        bits, tables = plan(n, d, threshold, recall)
-        centre = np.zeros(d)  # cosine is about the origin
-        models[d] = (bits, tables, centre, [learn_rotation(x, seed) for seed in range(math.ceil(bits * tables / d))])
-    shared = spark.sparkContext.broadcast(models)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.array([len(x) for x in batch.column(0).to_pylist()])
-            for d in np.unique(dims):
-                pick = pa.array(np.flatnonzero(dims == d))
-                part = batch.take(pick)
-                x = matrix(part.column(0), int(d))
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                bits, tables, centre, rotations = shared.value.get(int(d)) or (1, 1, np.zeros(d), [np.eye(int(d))])
-                keys = substrings(x, rotations, centre, bits, tables)
-                n = len(x)
-                rep, copies = part.column(1).to_numpy(), part.column(2).to_numpy()
-                own = [k.tobytes() for k in keys]
-                vec = [v.tobytes() for v in x]
-                for t in range(tables):
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t].view(np.int64)), pa.array(rep), pa.array(copies),
-                            pa.array(np.full(n, d, np.int32)), pa.array(own, pa.binary()), pa.array(vec, pa.binary()),
-                        ],
-                        names=["table", "key", "rep", "copies", "dim", "keys", "vector"],
-                    )
-
-    indexed = classes.select("embedding", "rep", "copies").mapInArrow(index, INDEXED)
-    counts = classes.select("embedding", "rep", "copies").mapInArrow(index, INDEXED).groupBy("dim", "table", "key").agg(F.count("*").alias("n"))
-    large = stored(counts.where(F.col("n") > BLOCK).select("dim", "table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    cut = indexed.join(large, ["dim", "table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("dim", "table", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "keys", "vector")
-    cut = cut.repartition("dim", "table", "key", "low", "high").sortWithinPartitions("dim", "table", "key", "low", "high")
-    links = stored(cut.mapInArrow(compare(threshold), LINKS), "vector-links")
+    shared = spark.sparkContext.broadcast(models_of(classes, threshold, recall))
+
+    def index(with_sketch: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = np.array([len(x) for x in batch.column(0).to_pylist()])
+                for d in np.unique(dims).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(dims == d)))
+                    x = matrix(part.column(0), d)
+                    x /= np.linalg.norm(x, axis=1)[:, None]
+                    n = len(x)
+                    bits, tables, rotations = shared.value.get(d, (0, 1, []))
+                    keys = substrings(x, rotations, bits, tables)
+                    sketches = pa.array([s.tobytes() for s in sketch(x)[0]] if with_sketch else [b""] * n, pa.binary())
+                    for t in range(tables):
+                        columns = [pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t].view(np.int64)), pa.array(np.full(n, d, np.int32)), part.column(1), sketches]
+                        yield pa.record_batch(columns, names=["table", "key", "dim", "rep", "sketch"])
+
+        return run
+
+    source = classes.select("embedding", "rep")
+    large = stored(blocks_of(source.mapInArrow(index(False), INDEXED), KEYS), "buckets")
+    met = cells(source.mapInArrow(index(True), INDEXED), KEYS, large).mapInArrow(tie(threshold), "a long, b long")
+    grouped = connected_components(met)
+    members = grouped.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    joined = classes.join(members, "rep").select("grp", "rep", "copies", "embedding")
+    links = stored(cells(joined, ["grp"], blocks_of(members, ["grp"])).mapInArrow(compare(threshold), LINKS), "vector-links")
     tied = connected_components(links.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     summed = links.groupBy("rep").agg(F.sum("links").alias("links"))
     classed = classes.join(summed, "rep", "left").join(tied.select(F.col("node").alias("rep"), "component"), "rep", "left")

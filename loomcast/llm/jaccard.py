@@ -2,8 +2,12 @@
 
 A document is the set of its runs of five words (of fewer, but not none: one run of all).  Documents with equal sets
 are one class.  A signature is a one-permutation MinHash with optimal densification in 256 bins; 32 trees take eight
-bins each.  The forest's sorted prefix tries are walked from full depth: prefixes are shortened until a pair at the
-threshold shares a node with the target recall (`depth_for`), and classes that share a node become candidates.
+bins each, 16 bits of a bin, as a label of 128 bits.  Labels of a tree are sorted, so a node of its prefix trie is a run
+of labels with a common prefix, and classes that share a node become candidates.  Matches are sought at the full depth
+first.  Each verified match of similarity s was found with the chance 1 - (1 - s^depth)^32, so the matches seen tell how
+many there are in all; as long as they are a smaller share than the target recall, all prefixes are shortened by one bin
+and the larger nodes are matched.  A depth at which even pairs at the threshold are found often enough needs no such
+estimate: at the similarity of 0.8 that is the full depth already (0.997).
 
 Candidates are not expanded into pairs.  Nodes tie their classes to one of them (pre-aggregated in each batch, so a hot
 node sends a row per task), ties give candidate groups, and each group is verified exactly from the full shingle sets:
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, read_table, shingle_hashes, stored, word_hashes
+from .common import drop_stored, mix64, prepare, read_table, shingle_hashes, stored, word_hashes
 from .components import connected_components
 from .packed import SCHEMA, dealt, exchange, groups, load
 
@@ -32,17 +36,15 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH, BINS = 32, 8, 256
 RECALL = 0.99
-#: Documents whose sets meet in one worker are at most twice this many.
-BLOCK = 1500
-#: Candidate documents whose ids may be sent to every task; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Documents whose sets meet in one worker are at most about twice this many.
+BLOCK = 750
 
-SIGNATURES = "doc_id long, n int, fp1 long, fp2 long, keys binary"
+SIGNATURES = "doc_id long, n int, fp1 long, fp2 long, labels binary"
 
 
-def depth_for(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which pairs of this similarity meet in some tree with the target recall."""
-    return next((k for k in range(depth, 1, -1) if 1 - (1 - threshold**k) ** trees >= recall), 1)
+def found(similarity, depth: int):
+    """The chance that a pair of this similarity shares a node of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -90,17 +92,15 @@ def signature(x: np.ndarray) -> np.ndarray:
     return sig
 
 
-def tree_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit key of each tree's prefix of `depth` bins; signatures in rows."""
+def tree_labels(sig: np.ndarray) -> np.ndarray:
+    """Each tree's label as two numbers in the order of its bins; signatures in rows."""
     with np.errstate(over="ignore"):
-        parts = sig.reshape(-1, TREES, DEPTH)
-        key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), parts.shape[:2]).copy()
-        for i in range(depth):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
-        return key
+        parts = (mix64(sig) >> np.uint64(48)).reshape(-1, TREES, 2, DEPTH // 2)
+        shift = np.uint64(16) * np.arange(DEPTH // 2 - 1, -1, -1, dtype=np.uint64)
+        return (parts << shift).sum(3, dtype=np.uint64)
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
+def signatures(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,26 +113,33 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                     if len(x):
                         fp[i] = mix64(x).sum(dtype=np.uint64), mix64(x + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                         sig[i] = signature(x)
-            keys = tree_keys(sig, depth)
+            labels = tree_labels(sig)
             yield pa.record_batch(
                 [
                     ids, pa.array([len(x) for x in sets], pa.int32()), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)),
-                    pa.array([k.tobytes() if len(x) else None for k, x in zip(keys, sets, strict=True)], pa.binary()),
+                    pa.array([k.tobytes() if len(x) else None for k, x in zip(labels, sets, strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "n", "fp1", "fp2", "keys"],
+                names=["doc_id", "n", "fp1", "fp2", "labels"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
 
 
-def tied(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each distinct key its least id; and the ties (id, least id) of the others."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    head = ids[first][np.cumsum(first) - 1]
-    loose = ids != head
-    return np.flatnonzero(first), ids[loose], head[loose], keys, ids
+def prefix(labels: np.ndarray, depth: int) -> np.ndarray:
+    """The first bins of labels (rows of two numbers), the others as zeros."""
+    bits = [min(64, max(0, 16 * depth - 64 * i)) for i in range(2)]
+    return labels & np.array([(1 << 64) - (1 << (64 - b)) for b in bits], np.uint64)
+
+
+def tied(tree: np.ndarray, labels: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts the labels of each tree; the row of least id of each node of this depth, and ties (id, least id) of the others."""
+    part = prefix(labels, depth)
+    order = np.lexsort((ids, part[:, 1], part[:, 0], tree))
+    tree, part, sorted_ids = tree[order], part[order], ids[order]
+    first = np.r_[True, (tree[1:] != tree[:-1]) | (part[1:] != part[:-1]).any(1)] if len(order) else np.zeros(0, bool)
+    head = sorted_ids[first][np.cumsum(first) - 1]
+    loose = sorted_ids != head
+    return order[first], sorted_ids[loose], head[loose]
 
 
 def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -140,40 +147,37 @@ def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def candidate_edges(classes: DataFrame, buckets: int) -> DataFrame:
-    """Ties (a, b) between classes that share a trie node at the chosen depth, from (rep, keys)."""
+def candidate_edges(classes: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Ties (a, b) between classes that share a trie node of this depth, from (rep, labels)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
+            labels = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 2)
             ids = np.repeat(batch.column(0).to_numpy(), TREES)
-            first, a, b, keys, ids = tied(keys, ids)
-            where = ((keys[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            yield dealt(where, [keys[first], ids[first]])
+            tree = np.tile(np.arange(TREES, dtype=np.uint64), batch.num_rows)
+            first, a, b = tied(tree, labels, ids, depth)
+            part = prefix(labels[first], depth)
+            with np.errstate(over="ignore"):  # a node, hence a whole trie below it, goes to one bucket
+                node = mix64(part[:, 0] + mix64(part[:, 1] + tree[first] * np.uint64(0x9E3779B97F4A7C15)))
+            where = ((node >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            yield dealt(where, [tree[first], labels[first], ids[first]])
             if len(a):  # ties found here travel as they are
-                yield dealt(np.zeros(len(a), np.int32) + (a % buckets).astype(np.int32), [np.zeros(len(a), np.uint64), a, b])
+                yield dealt((a % buckets).astype(np.int32), [a, b])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, a, b = [], [], [], []
+        rows, ties = [], []
         for batch in batches:
             for payload in batch.column(1).to_pylist():
                 got = load(payload)
-                if len(got) == 2:
-                    keys.append(got[0])
-                    ids.append(got[1])
-                else:
-                    a.append(got[1])
-                    b.append(got[2])
-        if keys:
-            _, more_a, more_b, _, _ = tied(np.concatenate(keys), np.concatenate(ids))
-            a.append(more_a)
-            b.append(more_b)
-        if a:
-            yield edge_batch(np.concatenate(a), np.concatenate(b))
-
-    sent = classes.select("rep", "keys").mapInArrow(send, SCHEMA)
+                (rows if len(got) == 3 else ties).append(got)
+        if rows:
+            ties.append(tied(*(np.concatenate(x) for x in zip(*rows, strict=True)), depth)[1:])
+        if ties:
+            yield edge_batch(*(np.concatenate(x) for x in zip(*ties, strict=True)))
+
+    sent = classes.select("rep", "labels").mapInArrow(send, SCHEMA)
     return exchange(sent, buckets).mapInArrow(meet, "a long, b long")
 
 
@@ -229,11 +233,14 @@ def roots(linked: np.ndarray) -> np.ndarray:
     return np.where(root < 0, np.arange(g), root)
 
 
-LINKS = "rep long, links long, hub long"
+LINKS = "rep long, links long, hub long, pairs long, expected double"
 
 
-def verify(threshold: float):
-    """Exact links of each block pair: a count of linked documents per class, and its hub in a spanning forest."""
+def verify(threshold: float, depth: int):
+    """Exact links of each block pair: a count of linked documents per class, and its hub in a spanning forest.
+
+    pairs and expected: linked classes, and how many such there should be in all by the chances of finding them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), table in groups(batches, 3):
@@ -242,9 +249,9 @@ def verify(threshold: float):
             copies = table.column(5).to_numpy().astype(float)
             sets = [np.frombuffer(x, np.uint64) for x in table.column(6).to_pylist()]
             both = overlaps(sets)
-            n = np.array([len(x) for x in sets], np.float32)
-            # an exact test in whole numbers: common / union >= threshold
-            linked = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-4
+            n = np.array([len(x) for x in sets], np.float64)
+            likeness = both / (n[:, None] + n[None, :] - both)  # of whole numbers, so at the threshold it is exact
+            linked = likeness >= threshold
             linked &= rep[:, None] != rep[None, :]
             if low != high:
                 linked &= block[:, None] != block[None, :]
@@ -253,24 +260,20 @@ def verify(threshold: float):
                 continue
             hub = rep[roots(linked)]
             links = (linked @ copies).astype(np.int64)
-            yield pa.record_batch([pa.array(rep[some]), pa.array(links[some]), pa.array(hub[some])], names=["rep", "links", "hub"])
+            expected = np.where(linked, 1 / found(np.maximum(likeness, threshold), depth), 0).sum(1)
+            columns = [rep, links, hub, linked.sum(1), expected]
+            yield pa.record_batch([pa.array(c[some]) for c in columns], names=["rep", "links", "hub", "pairs", "expected"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least doc_id of its connected group), text_id (of its equal sets), n_links for each row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(rows, depth_for(threshold, recall)), "signatures")
-    alike = signed.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n")
-    classes = stored(alike.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups_ = connected_components(candidate_edges(classes, parts))
-    members = groups_.join(classes.select("rep", "copies", "fp1"), groups_.node == F.col("rep")).select("rep", "copies", F.col("component").alias("grp"), "fp1")
+def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """LINKS of all classes that share nodes of this depth."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups_ = connected_components(candidate_edges(classes, depth, parts))
+    members = groups_.join(classes.select("rep", "copies"), groups_.node == F.col("rep")).select("rep", "copies", F.col("component").alias("grp"))
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = stored(members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "members")
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    members = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,14 +281,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             payload = pa.array([x.tobytes() for x in sets], pa.binary())
             yield pa.record_batch([*(batch.column(i) for i in range(5)), payload], names=["grp", "blocks", "block", "rep", "copies", "shingles"])
 
-    mine = rows.join(wanted, rows.doc_id == wanted["rep"]).select("grp", "blocks", "block", "rep", "copies", "text")
+    mine = rows.join(members, rows.doc_id == members.rep).select("grp", "blocks", "block", "rep", "copies", "text")
     sets = mine.mapInArrow(shingled, "grp long, blocks int, block int, rep long, copies long, shingles binary")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
     spread = sets.select("*", other).select(
         "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "shingles"
     )
     spread = spread.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-    links = stored(spread.mapInArrow(verify(threshold), LINKS), "links")
+    return stored(spread.mapInArrow(verify(threshold, depth), LINKS), "links")
+
+
+def forest_links(rows: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """LINKS at the first depth, from the full one upwards, whose matches are the target share of all; and that depth."""
+    for depth in range(DEPTH, 0, -1):
+        links = verified_links(rows, classes, threshold, depth)
+        if depth == 1 or found(threshold, depth) >= recall:
+            break
+        seen = links.agg(F.sum("pairs").alias("pairs"), F.sum("expected").alias("expected")).collect()[0]
+        if seen.pairs and seen.pairs >= recall * seen.expected:
+            break
+        drop_stored(links)
+    return links, depth
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (least doc_id of its connected group), text_id (of its equal sets), n_links for each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = stored(signatures(rows), "signatures")
+    alike = signed.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n")
+    classes = stored(alike.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")), "classes")
+    links = forest_links(rows, classes, threshold, recall)[0]
     tied_ = connected_components(links.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     classed = classes.select("fp1", "fp2", "n", "rep", "copies").join(counts, "rep", "left")

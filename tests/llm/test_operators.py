@@ -287,7 +287,38 @@ def test_overlaps_by_product_and_by_pairs():
     for i in range(0, 150, 7):
         for j in range(150):
             assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
-    assert jaccard.depth_for(0.8, 0.99) == 8 and jaccard.depth_for(0.5, 0.99) < 4
+
+
+def test_forest_shortens_prefixes_for_low_thresholds(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):  # pairs of Jaccard about 0.5
+        base = sentence(rng, 120, 10**6).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:80] + sentence(rng, 40, 10**6).split()))]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(i, i + 1) for i in range(0, 120, 2) if len(sets[i] & sets[i + 1]) >= 0.45 * len(sets[i] | sets[i + 1])}
+    assert len(want) == 60
+    table = docs(spark, rows)
+    classes = jaccard.signatures(table).selectExpr("doc_id as rep", "1L as copies", "labels")
+    links, depth = jaccard.forest_links(table, classes, 0.45, 0.9)
+    assert depth < jaccard.DEPTH and links.count() >= 0.9 * 120
+    first = jaccard.verified_links(table, classes, 0.45, jaccard.DEPTH)
+    assert first.count() < 0.9 * 120  # the full depth does not do
+    assert jaccard.found(0.8, jaccard.DEPTH) >= jaccard.RECALL > jaccard.found(0.5, 7)
+
+
+def test_nodes_are_runs_of_sorted_labels():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, (200, 8)).astype(np.uint64)
+    packed_ = np.column_stack([(labels[:, 4 * i : 4 * i + 4] << np.array([48, 32, 16, 0], np.uint64)).sum(1, dtype=np.uint64) for i in range(2)])
+    tree, ids = np.zeros(200, np.uint64), rng.permutation(200)
+    for depth in (8, 5, 4, 1):
+        first, a, b = jaccard.tied(tree, packed_, ids, depth)
+        least = {}
+        for row, i in sorted(zip(map(tuple, labels[:, :depth].tolist()), ids.tolist()), key=lambda x: x[1]):
+            least.setdefault(row, i)
+        assert sorted(ids[first].tolist()) == sorted(least.values())
+        assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == {(i, least[tuple(labels[r, :depth].tolist())]) for r, i in enumerate(ids.tolist())} - {(i, i) for i in range(200)}
 
 
 def test_line_dedup(spark):
@@ -308,25 +339,50 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs(spark, rows).where("doc_id < 0")).count() == 0
 
 
-def test_line_dedup_is_native(spark, capsys):
-    plan = lines.line_rows(lines.numbered(docs(spark, [(1, "x")])))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
-
-
 def test_lines_meet_beside_a_foreign_hub(spark, monkeypatch):
-    # one bucket: the hub 1 is far from all, 2 and 3 and 5 and 6 are near, 4 is a stranger, 7 is near 2 but much longer
+    # one bucket: 1 is far from all, 2 and 3 and 5 and 6 are near, 4 is a stranger, 7 is near 2 but much longer
     base = 0x0123456789ABCDEF
     sims = {1: base ^ 0xFFFFF0, 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FFF << 46), 5: base ^ (0x7FFFFFF << 30), 6: base ^ (0x7FFFFFF << 30) ^ 2, 7: base}
-    rows = [(9, i, s, 400 if i == 7 else 100) for i, s in sims.items()]
-    met = spark.createDataFrame(rows, "key long, h1 long, sim long, chars int")
+    met = spark.createDataFrame([(9, i, s, 400 if i == 7 else 100) for i, s in sims.items()], "key long, h1 long, sim long, chars int")
     none = spark.createDataFrame([], "node long, component long")
-    buckets = lines.with_hubs(met)
-    assert {r.hub for r in buckets.collect()} == {1}
     for size in (1000, 2):
         monkeypatch.setattr(lines, "BUCKET_ROWS", size)
-        assert sorted(tuple(r) for r in lines.open_pairs(buckets, none).collect()) == [(3, 2), (6, 5)]
+        assert sorted(tuple(r) for r in lines.open_pairs(met, none).collect()) == [(3, 2), (6, 5)]
         joined = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
-        assert [tuple(r) for r in lines.open_pairs(buckets, joined).collect()] == [(6, 5)]
+        assert [tuple(r) for r in lines.open_pairs(met, joined).collect()] == [(6, 5)]
+
+
+def test_large_buckets_lose_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    sims = [rng.getrandbits(62) for _ in range(12)]
+    sims += [s ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for s in sims for _ in range(4)]
+    classes = spark.createDataFrame([(30, i, s, 200) for i, s in enumerate(sims)], "n int, h1 long, sim long, chars int")
+    want = {(i, j) for i in range(60) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 4}
+    assert {(r.h1, r.other) for r in lines.met_rows(classes, [0]).collect()} >= want  # four bits leave two of six blocks alone
+    monkeypatch.setattr(lines, "ALL_PAIRS", 1)
+    rows = lines.met_rows(classes, [0])
+    none = spark.createDataFrame([], "node long, component long")
+    found = lines.open_pairs(rows.where("kind = 1").select("key", "h1", "sim", "chars"), none)
+    assert {tuple(r) for r in found.collect()} >= want
+
+
+def test_lines_are_hashed_by_their_words():
+    texts = ["The  quick\n\nbrown; FOX\n", "", "the Quick\nÉté 12\nfox brown", "été, 12"]
+    got = [tuple(x.tolist() for x in lines.hashed_lines(p)) for p in lines.segments(texts)]
+    assert len(got) == 1
+    owner, line, h1, h2, chars, n, sim = got[0]
+    assert list(zip(owner, line)) == [(0, 0), (0, 2), (2, 0), (2, 1), (2, 2), (3, 0)]
+    assert chars == [9, 9, 9, 6, 9, 6] and n == [2] * 6
+    assert h1[0] == h1[2] and h1[3] == h1[5] and h1[1] != h1[4] and sim[1] == sim[4] and len(set(h1)) == len(set(h2)) == 4
+
+
+def test_long_texts_are_cut_at_line_ends(monkeypatch):
+    text = "\n".join(f"line number {i} of a text" for i in range(200))
+    whole = lines.hashed_lines(next(lines.segments([text])))
+    monkeypatch.setattr(lines, "CHUNK", 300)
+    parts = [lines.hashed_lines(p) for p in lines.segments([text])]
+    assert len(parts) > 10
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), whole, strict=True))
 
 
 def edit_distance(a, b):
@@ -338,6 +394,21 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_distances_by_diagonals():
+    rng = random.Random(14)
+    for _ in range(150):
+        x = [rng.randrange(3) for _ in range(rng.randrange(40))]
+        y = list(x) if rng.random() < 0.8 else [rng.randrange(3) for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = [rng.randrange(3)] * rng.randrange(3)
+        a, b = np.array(x, np.uint32), np.array(y, np.uint32)
+        d = edit_distance(x, y)
+        s, t = lines.trim(a, b)
+        assert edit_distance(x[s], y[t]) == d
+        assert [lines.within(a, b, k) for k in range(d + 2)] == [k >= d for k in range(d + 2)]
+
+
 def test_lines_of_some_edits_meet_as_by_brute_force(spark):
     rng = random.Random(21)
     vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 5, 7, 9]))) for _ in range(300)]
@@ -361,8 +432,7 @@ def test_more_partitions_for_fewer_words():
     assert lines.partitions(6) > lines.partitions(12) > lines.partitions(20)
     assert sorted(sum(lines.rounds(), [])) == list(range(lines.partitions(lines.FEW_WORDS)))
     for p in range(lines.partitions(lines.FEW_WORDS)):
-        low = [m % (1 << 64) for m in lines.masks(p)]
-        assert len(set(low)) == 15 and all(21 <= m.bit_count() <= 22 for m in low)
+        assert len(set(lines.masks(p))) == lines.PAIRS == 15 and all(20 <= m.bit_count() <= 22 for m in lines.masks(p))
 
 
 def test_common_lines_and_very_long_lines(spark, monkeypatch):
@@ -372,7 +442,7 @@ def test_common_lines_and_very_long_lines(spark, monkeypatch):
     rows = [(i, f"the common line of all the documents\n{sentence(rng, 30, 10**6)}") for i in range(30)]
     rows += [(40, " ".join(long)), (41, " ".join([*long[:500], "other", *long[501:]]))]
     got = by_id(lines.dedup_lines(docs(spark, rows)))
-    assert [got[i].__getattr__("__removed") for i in range(30)] == [0] + [1] * 29
+    assert [got[i]["__removed"] for i in range(30)] == [0] + [1] * 29
     assert (got[40]["__removed"], got[41]["__removed"]) == (0, 1)
 
 
@@ -390,7 +460,7 @@ def test_passages(spark, corpus):
 def test_compact_windows_are_cartesian_nodes():
     rng = np.random.default_rng(4)
     tokens = rng.integers(0, 2**62, 300).astype(np.uint64)
-    own, place, low, high, token = passages.compact_windows([tokens[:40], tokens], 0)
+    own, place, low, high, token, context = next(passages.compact_windows([tokens[:40], tokens]))
     from loomcast.llm.common import mix64
 
     with np.errstate(over="ignore"):
