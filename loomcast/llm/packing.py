@@ -50,9 +50,11 @@ class ChunkEncoder:
     The text is cut at blanks and newlines, which the vocabulary's own normaliser treats as separators, and every
     distinct chunk is encoded once; ids of a text are the chunks' ids joined.  A chunk of Latin letters, with or
     without a final stop or comma, goes straight to the tokenizer's model: its normaliser only lower-cases such
-    letters and its splitter keeps them together.  Everything else takes the tokenizer's whole way.
+    letters and its splitter keeps them together.  Everything else takes the tokenizer's whole way.  A vocabulary that
+    encodes PROBES otherwise is not of that kind, and then whole texts take that way.
     """
 
+    PROBES = ("Two Words. And, more\nÉtés  of them", " ", "x Y", "don't ÀÖ 12,3 \n\n q", "Ab.Cd eF, gh.")
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
     def __init__(self, path: str):
@@ -66,6 +68,13 @@ class ChunkEncoder:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in seen]
         self.written = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.whole = False
+        self.clear()
+        try:
+            same = [x.tolist() for x in self.encode(list(self.PROBES))] == [x.tolist() for x in self.plainly(list(self.PROBES))]
+        except (KeyError, ValueError):  # pieces that the model alone cannot read
+            same = False
+        self.whole = not same
         self.clear()
 
     def clear(self) -> None:
@@ -103,7 +112,12 @@ class ChunkEncoder:
         self.known.update(zip(chunks, range(at, at + len(ids)), strict=True))
         self.used += total
 
+    def plainly(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.whole:
+            return self.plainly(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
@@ -166,7 +180,7 @@ class Packer:
         """Fill a gap from the tiers under `below`, longest first, then from `below` itself; the last is cut."""
         for tier in [t for t in reversed(self.tiers) if t < below] + [below]:
             pool = self.pools[tier]
-            while gap and pool and (pool[0][2] <= gap or tier <= below):
+            while gap and pool:
                 doc, start, n = pool.popleft()
                 take = min(n, gap)
                 pieces.append((doc, start, take))

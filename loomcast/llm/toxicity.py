@@ -75,12 +75,13 @@ def fold(text: str) -> str:
     return LEET_WORD.sub(lambda m: m[0].translate(DIGITS), text) if re.search("[0-9@$!|]", text) else text
 
 
-WORD = re.compile(r"[a-z]+")
+#: Letters of any script.
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """A word's beginnings of SHORTEST to LONGEST letters, marked as beginnings."""
-    return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
+    """A word's beginnings of SHORTEST to LONGEST letters; of a shorter word the whole, with the blank behind it."""
+    return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)] or [f"{word} "]
 
 
 def held_out(doc_id: str = "doc_id"):

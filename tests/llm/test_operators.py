@@ -167,6 +167,13 @@ def test_toxicity(spark):
     assert none == {} and toxicity.toxicity(table, none, flat).where("predicted = 1").count() == 0
 
 
+def test_terms_of_any_script_and_length():
+    lexicon = toxicity.Lexicon({"дура": 5.0, "馬鹿 ": 5.0, "git ": 5.0})
+    assert toxicity.terms_of("馬鹿") == ["馬鹿 "] and toxicity.terms_of("abcde") == ["abcd", "abcde"]
+    assert lexicon.features("you git!")[0] > 1 and lexicon.features("a gitter")[0] == 0
+    assert lexicon.features("この 馬鹿")[0] > 1
+
+
 def test_exception_phrases():
     lexicon = toxicity.Lexicon({"trash": 5.0, "clown": 5.0})
     assert lexicon.features("a trash can, a clown fish") == (0.0, 0.0)
@@ -189,6 +196,40 @@ def test_chat_round_trip(spark):
         assert chat.unescaped(safe) == (t or "") and not chat.CONTROL.search(safe)
 
 
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(2, 90):
+        v = rng.normal(size=d)
+        rows += [(10 * d, v.tolist()), (10 * d + 1, (v + 0.02 * rng.normal(size=d) * np.linalg.norm(v) / d).tolist()), (10 * d + 2, (-v).tolist())]
+    rows += [(None, rows[0][1]), (20, rows[0][1])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == 10 * (r.vec_id // 10) and r.n_links >= 1 for r in got if r.vec_id is not None and r.vec_id % 10 < 2)
+    assert all(r.component_id == r.vec_id and r.n_links == 0 for r in got if r.vec_id is None or r.vec_id % 10 == 2)
+
+
+def test_tables_and_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 40)  # so that lengths get tables, and buckets and groups are cut
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 24))
+    x = np.concatenate([base, *(base[:20] + 0.07 * rng.normal(size=(20, 24)) for _ in range(6)), base[0] + 0.02 * rng.normal(size=(60, 24))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    pairs = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(r.n_links for r in got.values())
+    assert 0.95 * 2 * len(pairs) <= found <= 2 * len(pairs)
+
+
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 33)) ** 3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    made, error = embeddings.sketch(x)
+    near = made[:, 8:].view(np.int8) * made[:, :4].copy().view("<f4")
+    assert (np.abs(near @ near.T - x @ x.T) <= error[:, None] + error + error[:, None] * error + 1e-5).all()
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(120, 32))
@@ -262,6 +303,18 @@ def test_chunks_encode_as_whole_texts():
     assert [x.tolist() for x in got] == [coder.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_other_vocabularies_take_the_plain_way():
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = str(Path(packing.default_tokenizer()).with_name("byte_bpe_50k.json"))
+    coder, mine = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    texts = ["Two Words. And, more\n\nwords", " x  y", ""]
+    assert mine.whole and not packing.ChunkEncoder(packing.default_tokenizer()).whole
+    assert [x.tolist() for x in mine.encode(texts)] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def shingles(text):
     w = words_of(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -342,8 +395,8 @@ def test_line_dedup(spark):
 def test_lines_meet_beside_a_foreign_hub(spark, monkeypatch):
     # one bucket: 1 is far from all, 2 and 3 and 5 and 6 are near, 4 is a stranger, 7 is near 2 but much longer
     base = 0x0123456789ABCDEF
-    sims = {1: base ^ 0xFFFFF0, 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FFF << 46), 5: base ^ (0x7FFFFFF << 30), 6: base ^ (0x7FFFFFF << 30) ^ 2, 7: base}
-    met = spark.createDataFrame([(9, i, s, 400 if i == 7 else 100) for i, s in sims.items()], "key long, h1 long, sim long, chars int")
+    sims = {1: base ^ 0xFFFFF0, 2: base, 3: base ^ (7 << 30), 4: base ^ (0x3FFF << 46), 5: base ^ (0x7FFFFFF << 30), 6: base ^ (0x7FFFFFF << 30) ^ 2, 7: base, 8: base}  # 8 has other word pairs
+    met = spark.createDataFrame([(9, i, s, 0 if i != 8 else -1, 400 if i == 7 else 100) for i, s in sims.items()], "key long, h1 long, sim long, duo long, chars int")
     none = spark.createDataFrame([], "node long, component long")
     for size in (1000, 2):
         monkeypatch.setattr(lines, "BUCKET_ROWS", size)
@@ -356,13 +409,13 @@ def test_large_buckets_lose_nothing(spark, monkeypatch):
     rng = random.Random(8)
     sims = [rng.getrandbits(62) for _ in range(12)]
     sims += [s ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for s in sims for _ in range(4)]
-    classes = spark.createDataFrame([(30, i, s, 200) for i, s in enumerate(sims)], "n int, h1 long, sim long, chars int")
+    classes = spark.createDataFrame([(30, i, s, 5, 200) for i, s in enumerate(sims)], "n int, h1 long, sim long, duo long, chars int")
     want = {(i, j) for i in range(60) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 4}
     assert {(r.h1, r.other) for r in lines.met_rows(classes, [0]).collect()} >= want  # four bits leave two of six blocks alone
     monkeypatch.setattr(lines, "ALL_PAIRS", 1)
     rows = lines.met_rows(classes, [0])
     none = spark.createDataFrame([], "node long, component long")
-    found = lines.open_pairs(rows.where("kind = 1").select("key", "h1", "sim", "chars"), none)
+    found = lines.open_pairs(rows.where("kind = 1").select("key", "h1", "sim", "duo", "chars"), none)
     assert {tuple(r) for r in found.collect()} >= want
 
 
@@ -370,10 +423,10 @@ def test_lines_are_hashed_by_their_words():
     texts = ["The  quick\n\nbrown; FOX\n", "", "the Quick\nÉté 12\nfox brown", "été, 12"]
     got = [tuple(x.tolist() for x in lines.hashed_lines(p)) for p in lines.segments(texts)]
     assert len(got) == 1
-    owner, line, h1, h2, chars, n, sim = got[0]
+    owner, line, h1, h2, chars, n, sim, duo = got[0]
     assert list(zip(owner, line)) == [(0, 0), (0, 2), (2, 0), (2, 1), (2, 2), (3, 0)]
     assert chars == [9, 9, 9, 6, 9, 6] and n == [2] * 6
-    assert h1[0] == h1[2] and h1[3] == h1[5] and h1[1] != h1[4] and sim[1] == sim[4] and len(set(h1)) == len(set(h2)) == 4
+    assert h1[0] == h1[2] and h1[3] == h1[5] and h1[1] != h1[4] and sim[1] == sim[4] and duo[1] != duo[4] and len(set(h1)) == len(set(h2)) == 4
 
 
 def test_long_texts_are_cut_at_line_ends(monkeypatch):
@@ -457,6 +510,34 @@ def test_passages(spark, corpus):
     assert passages.enough() == 2
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):  # an 80-word passage, its copy with one word changed, and a clean document
+        passage = sentence(rng, 80, 10**6).split()
+        other = list(passage)
+        other[rng.randrange(80)] = "changed"
+        for j, p in enumerate((passage, other, [])):
+            rows.append((3 * k + j, f"{sentence(rng, 70, 10**6)} {' '.join(p)} {sentence(rng, 70, 10**6)}"))
+    got = by_id(passages.near_passages(docs(spark, rows)))
+    found = sum(got[3 * k].n_passages == 1 == got[3 * k + 1].n_passages and got[3 * k + 1].class_id == 3 * k for k in range(60))
+    assert found >= 0.9 * 60
+    assert all(got[3 * k + 2].n_passages == 0 for k in range(60))
+
+
+def test_passages_meet_among_variants(spark):
+    rng = random.Random(32)
+    rows = []
+    for k in range(40):  # 1 and 3 hold a variant that is not near enough, 2 and 4 the passage
+        passage = sentence(rng, 64, 10**6).split()
+        variant = list(passage)
+        variant[20], variant[40] = "one", "two"
+        for j, p in enumerate((variant, passage, variant, passage)):
+            rows.append((4 * k + j, f"{sentence(rng, 60, 10**6)} {' '.join(p)} {sentence(rng, 60, 10**6)}"))
+    got = by_id(passages.near_passages(docs(spark, rows)))
+    assert sum(got[4 * k + 3].class_id in (4 * k, 4 * k + 1) and got[4 * k + 1].n_passages == 1 for k in range(40)) >= 0.9 * 40
+
+
 def test_compact_windows_are_cartesian_nodes():
     rng = np.random.default_rng(4)
     tokens = rng.integers(0, 2**62, 300).astype(np.uint64)
@@ -485,6 +566,16 @@ def test_chains_of_a_passage_repeated_often():
     assert not len(passages.chained([x[:20] for x in got], 2)[0])
 
 
+def test_verified_accepts_what_reaches_the_threshold():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = rng.integers(0, 2**31, 300).astype(np.uint32)
+        y = np.r_[rng.integers(0, 2**31, 90), x[100:176], rng.integers(0, 2**31, 90)].astype(np.uint32)
+        at = 90 + rng.integers(0, 72)
+        y[at : at + 5] = rng.integers(0, 2**31, 5)  # one changed word, five tokens: 71 / 81 of them are common
+        assert len(list(passages.verified(x, y))) == 1
+
+
 def test_verified_finds_parts():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**31, 300).astype(np.uint32)
