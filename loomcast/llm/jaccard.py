@@ -327,3 +327,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (
+  SELECT a, b, k = n1.n AND k = n2.n AS same FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2)
+  JOIN n n1 ON n1.doc_id = a JOIN n n2 ON n2.doc_id = b WHERE k >= 0.8 * (n1.n + n2.n - k)
+), reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS least FROM reach GROUP BY 1), k AS (SELECT a, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(c.least, doc_id)) AS class_id, least(doc_id, coalesce(twin, doc_id)) AS text_id, coalesce(n_links, 0) AS n_links
+FROM documents LEFT JOIN c ON doc_id = c.a LEFT JOIN k ON doc_id = k.a
+"""

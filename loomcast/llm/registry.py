@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, embeddings
+from . import chat, decontamination, embeddings, jaccard, substrings
 from .chat import op4_chat
 from .decontamination import op6_decontamination
 from .embeddings import op5_embeddings
@@ -32,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": substrings.ORACLE_SQL,
     "op4_chat": chat.ORACLE_SQL,
     "op5_embeddings": embeddings.ORACLE_SQL,
     "op6_decontamination": decontamination.ORACLE_SQL,
+    "op8_jaccard": jaccard.ORACLE_SQL,
 }

@@ -373,3 +373,19 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY 1), r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > least),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM k GROUP BY doc_id, run),
+cuts AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+parts AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""

@@ -447,7 +447,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_distances_by_diagonals():
+def test_distances_by_rows_of_bits():
     rng = random.Random(14)
     for _ in range(150):
         x = [rng.randrange(3) for _ in range(rng.randrange(40))]
@@ -589,6 +589,11 @@ def test_empty_tables(spark, corpus):
     assert passages.near_passages(none).count() == 0
     assert secrets.secret_spans(none).count() == 0
     assert packing.pack_documents(none, packing.default_tokenizer()).count() == 0
+    assert toxicity.toxicity(none, *toxicity.learn(toxicity.training_rows(none, spark.createDataFrame([], "doc_id long, toxic int")))).count() == 0
+    path = chat.default_tokenizer()
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_turns(turns, path), path).count() == 0
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contamination(none, bench).count() == 0
     assert decontamination.contamination(docs(spark, corpus), bench).where("contaminated").count() == 0
