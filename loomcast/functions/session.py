@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,9 +13,11 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which the cluster shares; under one of our own only if that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which the cluster shares; only a session of one machine may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="loomcast-"))
         base = f"file://{_OWN[0]}"

@@ -10,11 +10,16 @@ from ..functions.text import cosine
 
 
 def kmeans(vectors: DataFrame, k: int = 10, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """Vectors with their cluster and its centre, from the restart of least cost; fewer clusters for few vectors."""
+    """Vectors with their cluster and its centre, from the restart of least cost; fewer clusters for few vectors.
+
+    One vector is a cluster of its own; no vectors give no rows.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = vectors.count()
+    if n < 2:
+        return vectors.withColumn("cluster", F.lit(0)).withColumn("centre", F.transform("embedding", lambda x: x.cast("double")))
     k = k if n >= k else max(2, n // 5)
     rows = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(restarts)]
@@ -25,8 +30,8 @@ def kmeans(vectors: DataFrame, k: int = 10, restarts: int = 10, seed: int = 42)
 
 def members(clustered: DataFrame, least: int = 5) -> DataFrame:
     """Members of clusters that have `least` and more, with their similarity to the centre, most similar first."""
-    size = F.count("*").over(Window.partitionBy("cluster"))
-    rows = clustered.withColumn("size", size).where(F.col("size") >= least).withColumn("similarity", cosine(F.col("embedding"), F.col("centre")))
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    rows = clustered.join(sizes, "cluster").withColumn("similarity", cosine(F.col("embedding"), F.col("centre")))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("similarity"), "vec_id"))
     return rows.withColumn("rank", rank)
 

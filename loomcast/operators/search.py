@@ -12,21 +12,20 @@ CONTEXT = 100
 
 
 def scored(segments: DataFrame, query: str) -> DataFrame:
-    """Segments that answer the query at all, with their score and the texts beside them.
-
-    The neighbours come from the whole item, so the window runs before the filter.
-    """
-    by = Window.partitionBy("video_id").orderBy("seg_idx")
-    beside = lambda f: F.substring(F.coalesce(f("text").over(by), F.lit("")), 1, CONTEXT)
-    rows = segments.select(
-        "video_id", "seg_idx", F.col("start").alias("timestamp"), "text", keyword_score(F.col("text"), query).alias("score"),
-        beside(F.lag).alias("context_before"), beside(F.lead).alias("context_after"),
-    )
+    """Segments that answer the query at all, with their score; one scan."""
+    rows = segments.select("video_id", "seg_idx", F.col("start").alias("timestamp"), "text", keyword_score(F.col("text"), query).alias("score"))
     return rows.where("score > 0")
 
 
 def keyword(segments: DataFrame, query: str, most: int = 20) -> DataFrame:
-    return scored(segments, query).orderBy(F.desc("score"), "video_id", "seg_idx").limit(most)
+    """The best segments, with the texts beside them; only the items of these, `most` at most, are put in order."""
+    best = [F.desc("score"), "video_id", "seg_idx"]
+    hits = scored(segments, query).orderBy(*best).limit(most)
+    by = Window.partitionBy("video_id").orderBy("seg_idx")
+    beside = lambda f: F.substring(F.coalesce(f("text").over(by), F.lit("")), 1, CONTEXT)
+    items = F.broadcast(hits.select("video_id").distinct())
+    context = segments.join(items, "video_id", "left_semi").select("video_id", "seg_idx", beside(F.lag).alias("context_before"), beside(F.lead).alias("context_after"))
+    return context.join(F.broadcast(hits), ["video_id", "seg_idx"]).select(*hits.columns, "context_before", "context_after").orderBy(*best)
 
 
 def titled(results: DataFrame, media: DataFrame) -> DataFrame:

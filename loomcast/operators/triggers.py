@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONTENT_TYPES, FAMILIES, Family
+from . import timeline
 
 
 def detect(segments: DataFrame, families: tuple[Family, ...]) -> DataFrame:
@@ -42,3 +43,25 @@ def content_type(merged_segments: DataFrame, families: tuple[Family, ...] | None
     most = F.greatest(*CONTENT_TYPES)
     pick = F.when(F.col(CONTENT_TYPES[0]) == most, CONTENT_TYPES[0]).when(F.col(CONTENT_TYPES[1]) == most, CONTENT_TYPES[1]).otherwise(CONTENT_TYPES[2])
     return totals.select("video_id", pick.alias("content_type"), most.alias("triggers"), *CONTENT_TYPES)
+
+
+def analyzed(segments: DataFrame, content: str) -> DataFrame:
+    """What each item's merged segments say as a podcast, lecture or tutorial: triggers in order of time, and how far merging went."""
+    joined = timeline.merged(segments)
+    found = detect(joined, families_of(content)).select("video_id", F.struct("timestamp", "rank", "seg_idx", "trigger_type", "confidence", "context").alias("t"))
+    listed = found.groupBy("video_id").agg(F.array_sort(F.collect_list("t")).alias("triggers"))  # of one item
+    sizes = joined.groupBy("video_id").agg(F.count("*").alias("merged_segments"), F.sum("n_originals").alias("raw_segments"))
+    none = F.array().cast(listed.schema["triggers"].dataType)
+    ratio = F.when(F.col("merged_segments") > 0, F.col("raw_segments") / F.col("merged_segments")).otherwise(F.lit(0.0))
+    return sizes.join(listed, "video_id", "left").select(
+        "video_id", F.lit(content).alias("content_type"), "merged_segments", "raw_segments", ratio.alias("compression_ratio"), F.coalesce("triggers", none).alias("triggers")
+    )
+
+
+def best_frames(segments: DataFrame, most: int) -> DataFrame:
+    """The surest triggers of each item, of those that its best content type knows."""
+    joined = timeline.merged(segments)
+    families = tuple(f for f in FAMILIES if f.content in CONTENT_TYPES)
+    best = content_type(joined, families).select("video_id", "content_type")
+    found = detect(joined, families).join(best, "video_id").where("content = content_type")
+    return timeline.top_frames(found, most)

@@ -13,7 +13,7 @@ from ..functions.patterns import Family
 from ..operators import clusters, entities, merging, search, timeline, triggers
 from ..sources import tables as S
 from ..streaming import live
-from . import reports
+from . import reports, spoken
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -282,8 +282,8 @@ QUERY_VECTOR = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])) > 0.3 ORDER BY similarity DESC, vec_id LIMIT 20""")
 def semantic_topk(spark, d):
     vectors = S.table(spark, d, "embeddings")
-    asked = vectors.orderBy("vec_id").limit(1).select("embedding").collect()[0].embedding  # one vector
-    return search.semantic(vectors, list(asked)).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    asked = vectors.orderBy("vec_id").limit(1).select("embedding").collect()  # one vector; none of an empty table
+    return search.semantic(vectors, list(asked[0].embedding) if asked else [0.0]).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH c AS (SELECT label AS cluster, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT cluster, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM c),
@@ -296,14 +296,14 @@ def cluster_members(spark, d):
     return clusters.members(rows.join(centre, "cluster"), least=1).where("rank <= 10").select("cluster", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH t AS (SELECT source AS cluster, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, text FROM documents WHERE lang = 'en'),
+@query("""WITH t AS (SELECT source AS cluster, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, text FROM documents WHERE text IS NOT NULL),
 w AS (SELECT cluster, rank, generate_subscripts(a, 1) AS pos, regexp_replace(unnest(a), '[^\\p{L}\\p{N}]', '', 'g') AS term FROM (SELECT cluster, rank, regexp_split_to_array(lower(text), '\\s+') AS a FROM t WHERE rank <= 20)),
 c AS (SELECT cluster, term, count(*) AS n, min((rank, pos)) AS seen FROM w WHERE length(term) > 2 AND term NOT IN (STOP) GROUP BY 1, 2)
 SELECT cluster, term, n, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, seen) AS place FROM c) WHERE place <= 5""".replace(
     "STOP", ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(clusters.STOPWORDS))
 ))
 def cluster_top_terms(spark, d):
-    docs = S.table(spark, d, "documents").where("lang = 'en' and text is not null")
+    docs = S.table(spark, d, "documents").where("text is not null")
     return clusters.top_terms(docs.select(F.col("source").alias("cluster"), F.col("doc_id").alias("rank"), "text"))
 
 
@@ -461,3 +461,7 @@ def event_history(spark, d):
 def stream_ids(spark, d):
     started = F.to_timestamp(F.lit("2024-01-31 10:15:30"))
     return S.table(spark, d, "pages").select("page_id", live.stream_id(F.col("url"), started).alias("stream_id"))
+
+
+QUERIES.update(spoken.QUERIES)
+ORACLE_SQL.update(spoken.ORACLE_SQL)
