@@ -170,7 +170,7 @@ def test_toxicity(spark):
 def test_terms_of_any_script_and_length():
     lexicon = toxicity.Lexicon({"дура": 5.0, "馬鹿 ": 5.0, "git ": 5.0})
     assert toxicity.terms_of("馬鹿") == ["馬鹿 "] and toxicity.terms_of("abcde") == ["abcd", "abcde"]
-    assert lexicon.features("you git!")[0] > 1 and lexicon.features("a gitter")[0] == 0
+    assert lexicon.features("you git, go")[0] > 1 and lexicon.features("a gitter")[0] == 0
     assert lexicon.features("この 馬鹿")[0] > 1
 
 
