@@ -233,10 +233,10 @@ WHERE label IN ({", ".join(map(literal, ENTITY_LABELS))}) AND length(trim(text))
     "merged_entities": f"""WITH {values("l", "video_id, entity_id, canonical_name, names, said", LOCAL)}, {values("r", "video_id, entity_id, canonical_name, names, said", REMOTE)},
 both_ AS (SELECT *, 0 AS src FROM l UNION ALL SELECT *, 1 FROM r),
 x AS (SELECT video_id, entity_id, src, unnest(string_split(said, '|')) AS s FROM both_),
-y AS (SELECT video_id, entity_id, arg_max(s, src) AS s, CAST(split_part(s, ':', 1) AS INT) AS at FROM x GROUP BY 1, 2, 4),
+y AS (SELECT video_id, entity_id, arg_max(s, src) AS s, CAST(split_part(s, ':', 1) AS INT) AS moment FROM x GROUP BY 1, 2, 4),
 n AS (SELECT DISTINCT video_id, entity_id, unnest(string_split(names, '|')) AS a FROM both_)
 SELECT video_id, entity_id, canonical_name, aliases, said, mention_count FROM (SELECT video_id, entity_id, arg_min(canonical_name, src) AS canonical_name FROM both_ GROUP BY 1, 2)
-JOIN (SELECT video_id, entity_id, string_agg(s, '|' ORDER BY at) AS said, count(*) AS mention_count FROM y GROUP BY 1, 2) USING (video_id, entity_id)
+JOIN (SELECT video_id, entity_id, string_agg(s, '|' ORDER BY moment) AS said, count(*) AS mention_count FROM y GROUP BY 1, 2) USING (video_id, entity_id)
 JOIN (SELECT video_id, entity_id, string_agg(a, '|' ORDER BY a) AS aliases FROM n GROUP BY 1, 2) USING (video_id, entity_id)""",
     "cluster_labels": f"""WITH {values("t", "cluster, term, n, place", TERMS)} SELECT cluster, string_agg(term, ' / ' ORDER BY place) FILTER (place <= 3) AS label,
 string_agg(term, ' ' ORDER BY place) AS terms FROM t GROUP BY 1""",
