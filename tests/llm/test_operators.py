@@ -538,6 +538,75 @@ def test_passages_meet_among_variants(spark):
     assert sum(got[4 * k + 3].class_id in (4 * k, 4 * k + 1) and got[4 * k + 1].n_passages == 1 for k in range(40)) >= 0.9 * 40
 
 
+def test_passages_meet_between_strangers_of_one_line(spark):
+    rng = random.Random(33)
+    rows = []
+    for k in range(40):  # 1 and 3 hold a passage of 50 words; 0 and 2 its middle of 45, too short to be one
+        passage = sentence(rng, 50, 10**6).split()
+        for j, p in enumerate((passage[2:47], passage, passage[2:47], passage)):
+            rows.append((4 * k + j, f"{sentence(rng, 60, 10**6)} {' '.join(p)} {sentence(rng, 60, 10**6)}"))
+    got = by_id(passages.near_passages(docs(spark, rows)))
+    found = sum(got[4 * k + 3].class_id == 4 * k + 1 and got[4 * k + 1].n_passages == 1 == got[4 * k + 3].n_passages for k in range(40))
+    assert found >= 0.95 * 40, found
+    assert all(got[4 * k + j].n_passages == 0 for k in range(40) for j in (0, 2))
+
+
+def test_all_pairs_of_a_key_are_tied(monkeypatch):
+    doc = np.array([1, 1, 2, 3, 3, 4, 5, 6, 1, 2, 9])
+    key = np.array([7] * 8 + [8, 8, 9], np.uint64)
+    records = [key, doc, *(np.arange(11) for _ in range(3))]
+    more, first = passages.ties(records)
+    assert more.tolist() == list(range(8))
+    places = lambda got: set(zip(got[4].tolist(), got[5].tolist(), strict=True))
+    assert places(first) == {(0, i) for i in range(2, 8)} | {(i, i + 1) for i in (1, 2, 4, 5, 6)} | {(8, 9)}
+    rest = [x[:8] for x in records]
+    want = {(a, b) for a in range(8) for b in range(8) if doc[a] < doc[b]}
+    bits = np.zeros((8, 4), np.uint64)
+
+    def other(alone, group, content, every=bits, nearest=None):
+        found = passages.open_ties(rest, np.array(alone, bool), np.array(group), np.array(content, np.uint64), bits, every, nearest)
+        return set().union(*map(places, found))
+
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(passages, "OPEN_TIES", size)
+        assert other([1] * 8, [0] * 8, range(8)) == want
+        # records 2 to 4 are in one group: these are not tied again
+        assert other([1, 1, 0, 0, 0, 0, 1, 1], [0, 0, 5, 5, 5, 6, 0, 0], range(8)) == want - {(2, 3), (2, 4)}
+        # records 2, 5 and 7 are copies, of which one meets the others
+        assert other([1] * 8, [0] * 8, [0, 1, 2, 3, 4, 2, 6, 2]) == {(2, 5), (2, 7)} | {(a, b) for a, b in want if not {5, 7} & {a, b}}
+        # record 6 has eleven tokens in every window that no other has
+        many = bits.copy()
+        many[6, 1] = 2047
+        assert other([1] * 8, [0] * 8, range(8), many) == {(a, b) for a, b in want if 6 not in (a, b)}
+        few = bits.copy()
+        few[:, 0] = [15, 0, 7, 7, 7, 3, 7, 7]  # what each lacks least is record 5, or 1
+        assert other([1] * 8, [0] * 8, range(8), few, 1) == {(0, 5), (1, 5), (1, 2), (1, 3), (1, 4), (1, 6), (1, 7)}
+
+
+def test_sketches_tell_near_windows():
+    rng = np.random.default_rng(8)
+    t = passages.MIN_TOKENS
+    x = rng.integers(0, 2**63, 3 * t).astype(np.uint64)
+    y = np.r_[x[:t], rng.integers(0, 2**63, 2 * t).astype(np.uint64)]
+    y[20:25] = 0  # five tokens differ
+    low = np.array([0, t, 0, 2 * t])
+    for high in (low, np.array([0, t, 2 * t, 2 * t])):
+        (c, any_, every), (c2, any2, every2) = passages.sketches(x, low, high), passages.sketches(y, low, high)
+        lacking = np.bitwise_count(every & ~any2).sum(1)
+        assert lacking[0] <= 5 and lacking[1] > 20 and (c != c2).all()
+        assert not np.bitwise_count(every & ~any_).any() and len(set(c.tolist())) == len(set(zip(low, high, strict=True)))
+    assert passages.sketches(np.tile(x, 2), low + 3 * t, low + 3 * t)[0].tolist() == passages.sketches(x, low, low)[0].tolist()
+
+
+def test_records_of_texts_that_repeat_themselves():
+    words = np.full(1000, 7, np.uint64)
+    for key, own, place, low, high in passages.joint_windows([words, words[:60]], 2):
+        assert len(key) <= 1000 // passages.MARGIN + 2 and len(set(key.tolist())) == 1
+        covered = [(int(o), w) for o, a, b in zip(own, low, high, strict=True) for w in range(a, b + 1)]
+        assert covered == [(0, w) for w in range(1000 - passages.MIN_TOKENS + 1)] + [(1, w) for w in range(60 - passages.MIN_TOKENS + 1)]
+        assert all(a <= p < a + passages.MIN_TOKENS for a, p in zip(low, place, strict=True))
+
+
 def test_compact_windows_are_cartesian_nodes():
     rng = np.random.default_rng(4)
     tokens = rng.integers(0, 2**62, 300).astype(np.uint64)
