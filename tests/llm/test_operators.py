@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,6 +420,45 @@ def test_large_buckets_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} >= want
 
 
+def test_near_lines_leave_their_bucket_in_linear_numbers(spark, monkeypatch):
+    rng = random.Random(18)
+    base = rng.getrandbits(62)
+    sims = [base ^ (1 << rng.randrange(62)) for _ in range(60)]
+    classes = spark.createDataFrame([(30, i, s, 5, 200) for i, s in enumerate(sims)], "n int, h1 long, sim long, duo long, chars int")
+    want = {(i, j) for i in range(60) for j in range(i)}
+    none = spark.createDataFrame([], "node long, component long")
+    for all_pairs, some_pairs in ((64, 1 << 16), (1, 1 << 16), (1, 1)):
+        monkeypatch.setattr(lines, "ALL_PAIRS", all_pairs)
+        monkeypatch.setattr(lines, "SOME_PAIRS", some_pairs)
+        rows = lines.met_rows(classes, [0]).collect()
+        pairs = [(r.h1, r.other) for r in rows if r.kind == 0]
+        left = spark.createDataFrame([r[1:] for r in rows if r.kind == 1], "key long, h1 long, other long, sim long, duo long, chars int")
+        found = {tuple(r) for r in lines.open_pairs(left.drop("other"), none).collect()}
+        assert found | set(pairs) == want and len(rows) <= 60 * lines.PAIRS * (1 + lines.PAIRS_EACH) / 2
+        assert len(pairs) <= 60 * lines.PAIRS // 2
+    # a pair that two lines' SimHashes make in all block pairs leaves once
+    monkeypatch.setattr(lines, "ALL_PAIRS", 64)
+    assert lines.met_rows(classes.where("h1 < 2").withColumn("sim", F.lit(base)), [0, 1]).count() == 1
+
+
+def test_pairs_are_trimmed_together():
+    rng = random.Random(19)
+    rows = []
+    for i in range(200):
+        x = "".join(rng.choice("abcé") for _ in range(rng.choice([0, 3, 30, 700])))
+        at, cut = rng.randrange(len(x) + 1), rng.randrange(4)
+        y = x[:at] + rng.choice(["", "d", "ab"]) + x[at + cut :] if i % 3 else "".join(rng.choice("abcé") for _ in range(rng.randrange(40)))
+        rows.append((i, -i, x, y))
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["h1", "other", "mine", "theirs"])
+    got = {r["h1"]: r for out in lines.trimmed(iter([batch])) for r in out.to_pylist()}
+    for i, _, x, y in rows:
+        most = int(max(len(x), len(y)) * 0.2 + 1e-9)
+        d = edit_distance(x, y) if i % 3 == 0 or max(len(x), len(y)) < 60 else 3
+        assert d > most or i in got
+        if i in got and (got[i]["mine"], got[i]["theirs"]) != ("", "") and max(len(x), len(y)) < 60:
+            assert edit_distance(got[i]["mine"], got[i]["theirs"]) == d
+
+
 def test_lines_are_hashed_by_their_words():
     texts = ["The  quick\n\nbrown; FOX\n", "", "the Quick\nÉté 12\nfox brown", "été, 12"]
     got = [tuple(x.tolist() for x in lines.hashed_lines(p)) for p in lines.segments(texts)]
