@@ -692,6 +692,21 @@ def test_verified_finds_parts():
     assert list(passages.verified(x, y)) == [(100, 180, 50, 130)]
 
 
+def test_pairs_with_too_few_matches_are_left_at_once(monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.permutation(1000).astype(np.uint32)[:46]
+    for misses, found in ((5, 1), (6, 0)):  # 41 of 46 are the least with a share of 8 of 9
+        y = x.copy()
+        y[10 : 10 + misses] += 5000
+        assert sum(1 for _ in passages.stretches(np.isin(x, y))) == found
+        assert (np.count_nonzero(passages.among(x, y)) >= passages.LEAST_MATCHES) == found
+    for n, m in ((0, 5), (5, 0), (40, 90), (90, 40)):
+        a, b = rng.integers(0, 50, n), rng.integers(0, 50, m)
+        assert (passages.among(a, b) == np.isin(a, b)).all()
+    monkeypatch.setattr(passages, "stretches", None)  # it is not even asked for
+    assert list(passages.verified(x, y + np.uint32(9000))) == []
+
+
 def test_empty_tables(spark, corpus):
     none = docs(spark, corpus).where(F.lit(False))
     assert substrings.repeated_bytes(none).count() == 0
