@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table, stored, words_of
+from .common import lean, prepare, read_table, stored, words_of
 
 WINDOW = 10
 #: Bytes of item text whose windows one pass holds in a task's memory.
@@ -64,7 +64,7 @@ def rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
                 counts.update(filter(words.__contains__, words_of(text)))
         yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in rows.collect()}  # no more rows than the block's vocabulary
 
 
@@ -100,8 +100,8 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded size; only one block is on the driver at a time.
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """Items in blocks of bounded size, and whether the block is the last; only one block is on the driver at a time.
 
     An item's block is a hash of its id and text; a single text longer than a block is a block of its own, as
     its windows overlap and cannot be parted.
@@ -111,16 +111,22 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     n = -(-2 * total // block_bytes) if total > block_bytes else 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield [(r.item_id, r.text) for r in part.collect()], k == n - 1
 
 
-def find_hits(docs: DataFrame, windows: dict[tuple, set]) -> DataFrame:
-    """The rows with their hits of this block added to those of blocks before: HITS behind the other columns."""
+def find_hits(docs: DataFrame, windows: dict[tuple, set], keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows with their hits of this block added to those of blocks before: HITS behind the other columns.
+
+    With `keep` (after the last block) only these columns and RESULT, made in the same pass, as a second one in the
+    same tasks would take a second worker for each.
+    """
     counts = rarity(docs, {w for window in windows for w in window})
     shared = docs.sparkSession.sparkContext.broadcast(prefix_index(windows, counts))
     names = [f.name for f in HITS]
     own = [c for c in docs.columns if c not in names]
     at, earlier = own.index("text"), names[1] in docs.columns
+    put, fields = (own, HITS) if keep is None else (list(keep), RESULT)
+    kinds = [pa.int64()] + [pa.list_(pa.int64())] * 3 if keep is None else [pa.int64()] * 3 + [pa.string(), pa.bool_()]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -134,12 +140,15 @@ def find_hits(docs: DataFrame, windows: dict[tuple, set]) -> DataFrame:
                     starts, ends, found = next(before)
                     spans, items = spans + list(zip(starts, ends, strict=True)), items | set(found)
                 spans = joined(spans)
-                rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
-            kinds = [pa.int64()] + [pa.list_(pa.int64())] * 3
-            made = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
-            yield pa.record_batch([*(batch.column(i) for i in range(len(own))), *made], names=[*own, *names])
+                if keep is None:
+                    rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
+                else:
+                    ids, hit = sorted(map(str, items)), sum(b - a for a, b in spans)
+                    rows.append((len(words), hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
+            made = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            yield pa.record_batch([*(batch.column(own.index(c)) for c in put), *made], names=[*put, *(f.name for f in fields)])
 
-    return docs.mapInArrow(match, T.StructType([*(docs.schema[c] for c in own), *HITS]))
+    return docs.mapInArrow(lean(match), T.StructType([*(docs.schema[c] for c in put), *fields]))
 
 
 def contamination(
@@ -148,23 +157,9 @@ def contamination(
     """The columns `keep` of each document row, and RESULT: its words, those inside any window's occurrence, the items."""
     prepare(docs.sparkSession)
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    for k, block in enumerate(blocks_of(benchmark, block_bytes)):
-        rows = find_hits(stored(rows, "hits") if k else rows, windows_of(block, size))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            n_words, starts, ends, items = (batch.column(len(keep) + i).to_pylist() for i in range(4))
-            for n, s, e, found in zip(n_words, starts, ends, items, strict=True):
-                names = sorted(map(str, found))
-                hit = sum(e) - sum(s)
-                made.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_()]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*made, strict=True)) or [()] * 5, kinds, strict=True)]
-            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), *columns], names=[*keep, *(f.name for f in RESULT)])
-
-    kept = rows.select(*keep, *(f.name for f in HITS))
-    return kept.mapInArrow(summed, T.StructType([*(kept.schema[c] for c in keep), *RESULT]))
+    for k, (block, last) in enumerate(blocks_of(benchmark, block_bytes)):
+        rows = find_hits(stored(rows, "hits") if k else rows, windows_of(block, size), keep if last else None)
+    return rows
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, mix64, prepare, read_table, shingle_hashes, stored, word_hashes
+from .common import drop_stored, lean, mix64, prepare, read_table, shingle_hashes, stored, word_hashes
 from .components import connected_components
 from .packed import SCHEMA, dealt, exchange, groups, load
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "fp1", "fp2", "labels"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SIGNATURES)
 
 
 def prefix(labels: np.ndarray, depth: int) -> np.ndarray:
@@ -177,8 +177,8 @@ def candidate_edges(classes: DataFrame, depth: int, buckets: int) -> DataFrame:
         if ties:
             yield edge_batch(*(np.concatenate(x) for x in zip(*ties, strict=True)))
 
-    sent = classes.select("rep", "labels").mapInArrow(send, SCHEMA)
-    return exchange(sent, buckets).mapInArrow(meet, "a long, b long")
+    sent = classes.select("rep", "labels").mapInArrow(lean(send), SCHEMA)
+    return exchange(sent, buckets).mapInArrow(lean(meet), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -282,13 +282,13 @@ def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, depth:
             yield pa.record_batch([*(batch.column(i) for i in range(5)), payload], names=["grp", "blocks", "block", "rep", "copies", "shingles"])
 
     mine = rows.join(members, rows.doc_id == members.rep).select("grp", "blocks", "block", "rep", "copies", "text")
-    sets = mine.mapInArrow(shingled, "grp long, blocks int, block int, rep long, copies long, shingles binary")
+    sets = mine.mapInArrow(lean(shingled), "grp long, blocks int, block int, rep long, copies long, shingles binary")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
     spread = sets.select("*", other).select(
         "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "shingles"
     )
     spread = spread.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-    return stored(spread.mapInArrow(verify(threshold, depth), LINKS), "links")
+    return stored(spread.mapInArrow(lean(verify(threshold, depth)), LINKS), "links")
 
 
 def forest_links(rows: DataFrame, classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, text_or_empty
+from .common import hold, lean, prepare, read_table, text_or_empty
 
 LENGTH = 2048
 #: Sequence lengths below the full one; each is a power of two, so such a sequence needs no padding.
@@ -147,6 +147,7 @@ def grown(held: np.ndarray, size: int) -> np.ndarray:
 def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+        hold("packing", _ENCODERS.clear)
     return _ENCODERS[path]
 
 
@@ -303,7 +304,7 @@ def pack_documents(
         if rows:
             yield flush()
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(pack, IDS_SCHEMA if with_ids else SCHEMA)
+    return docs.select("doc_id", text_or_empty()).mapInArrow(lean(pack, "packing"), IDS_SCHEMA if with_ids else SCHEMA)
 
 
 def default_tokenizer() -> str:

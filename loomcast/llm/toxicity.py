@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table, stored
+from .common import lean, prepare, read_table, stored
 
 #: Look-alike letters (fixed values): Cyrillic and Greek forms of Latin letters.
 HOMOGLYPHS = {
@@ -170,7 +170,7 @@ def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weighted(labelled: DataFrame) -> DataFrame:
     """(text, toxic, weight): documents with equal folded texts share one weight of 1, so copies teach no terms."""
-    rows = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(copies, "text string, toxic long, same binary")
+    rows = labelled.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(lean(copies), "text string, toxic long, same binary")
     sizes = rows.groupBy("same").agg(F.count("*").alias("n"))
     return rows.join(sizes, "same").select("text", "toxic", (1.0 / F.col("n")).alias("weight"))
 
@@ -181,7 +181,7 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     The lexicon kept has at most LEXICON_TERMS terms; with at most FIT_ROWS rows, features fit the driver.
     """
     prepare(labelled.sparkSession)
-    counts = weighted(labelled).mapInArrow(count_terms, "term string, toxic double, other double")
+    counts = weighted(labelled).mapInArrow(lean(count_terms), "term string, toxic double, other double")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = stored(counts.where(f"toxic >= {MIN_DOCS} or term = ''"), "toxic-terms")
     total = counts.where("term = ''").collect()
@@ -222,7 +222,7 @@ def featured(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
             made = [pa.array([x for x, _ in got], pa.float64()), pa.array([y for _, y in got], pa.float64())]
             yield pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, "f0", "f1"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in ("f0", "f1"))]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in ("f0", "f1"))]))
 
 
 def toxicity(docs: DataFrame, weights: dict[str, float], score: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcast.llm import chat, decontamination, embeddings, jaccard, lines, packed, packing, passages, secrets, substrings, toxicity
-from loomcast.llm.common import words_of
+from loomcast.llm.common import hold, lean, words_of
 from loomcast.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, start long, items string"  # with names that operators use inside
@@ -273,6 +273,20 @@ def test_contamination_blocks_agree(spark, corpus):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, owners))).encode()).hexdigest()
 
 
+def test_contamination_takes_one_worker_a_task(spark, corpus):
+    bench = spark.createDataFrame([("1", corpus[2][1])], "item_id string, text string")
+    plan = decontamination.contamination(docs(spark, corpus), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_workers_let_go_what_other_operators_hold(monkeypatch):
+    gone = []
+    monkeypatch.setattr("loomcast.llm.common._HELD", {})
+    hold("packing", lambda: gone.append("packing"))
+    assert list(lean(lambda batches: batches, "packing")(iter([1, 2]))) == [1, 2] and not gone
+    assert list(lean(lambda batches: batches)(iter([3]))) == [3] and gone == ["packing"]
+
+
 def test_packing_is_whole(spark, corpus):
     from tokenizers import Tokenizer
 
