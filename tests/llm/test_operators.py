@@ -483,6 +483,33 @@ def test_lines_are_hashed_by_their_words():
     assert h1[0] == h1[2] and h1[3] == h1[5] and h1[1] != h1[4] and sim[1] == sim[4] and duo[1] != duo[4] and len(set(h1)) == len(set(h2)) == 4
 
 
+def test_letter_counts_part_strangers_only(spark):
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abcde  fgh2") for _ in range(rng.randrange(30, 70))) + "x" for _ in range(60)]
+    for base in texts[:30]:
+        edited = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], ["z"], [edited[at], "k"]])
+        texts.append("".join(edited) + "y")
+    *_, chars, n, sim, duo, count0, count1 = (x for p in lines.segments(texts) for x in lines.hashed_lines(p, counted=True))
+    counts = np.column_stack([count0, count1]).view(np.uint64)
+    norm = [" ".join(re.findall("[a-z0-9]+", t)) for t in texts]
+    assert [len(x) for x in norm] == chars.tolist()
+    parted = 0
+    for i in range(len(norm)):
+        for j in range(i):
+            most = int(max(len(norm[i]), len(norm[j])) * 0.2 + 1e-9)
+            if not lines.counts_allow(counts[i : i + 1], counts[j : j + 1], np.array([most]))[0]:
+                parted += 1
+                assert edit_distance(norm[i], norm[j]) > most
+    assert parted > 1000
+    # lines that the letters part leave no pair, though their SimHashes are the same
+    rows = [(9, 1, 7, 7, 40, int(count0[0]), int(count1[0])), (9, 2, 7, 7, 40, *(x - 2**64 if x >> 63 else x for x in (0x4444444444, 0x4444444444)))]
+    classes = spark.createDataFrame(rows, "n int, h1 long, sim long, duo long, chars int, count0 long, count1 long")
+    assert lines.met_rows(classes, [0]).count() == 0 and lines.met_rows(classes.drop("count0", "count1"), [0]).count() == 1
+
+
 def test_long_texts_are_cut_at_line_ends(monkeypatch):
     text = "\n".join(f"line number {i} of a text" for i in range(200))
     whole = lines.hashed_lines(next(lines.segments([text])))
