@@ -455,6 +455,45 @@ def test_near_lines_leave_their_bucket_in_linear_numbers(spark, monkeypatch):
     assert lines.met_rows(classes.where("h1 < 2").withColumn("sim", F.lit(base)), [0, 1]).count() == 1
 
 
+def test_few_near_lines_leave_a_crowded_bucket_as_pairs(spark):
+    # strangers that share two blocks, more than ALL_PAIRS of them, and three near pairs
+    rng = random.Random(29)
+    mask = lines.masks(0)[0]
+    free = [b for b in range(62) if not mask >> b & 1]
+    sims = [rng.getrandbits(62) & ~mask for _ in range(150)]
+    classes = [(30, i, s, rng.getrandbits(62), 200) for i, s in enumerate(sims)]
+    classes += [(30, 150 + i, s ^ (1 << free[0]) ^ (1 << free[1]), duo, 200) for i, (*_, s, duo, _) in enumerate(classes[:3])]
+    rows = lines.met_rows(spark.createDataFrame(classes, "n int, h1 long, sim long, duo long, chars int"), [0]).collect()
+    assert {(r.h1, r.other) for r in rows if r.kind == 0} >= {(150, 0), (151, 1), (152, 2)}
+    assert not [r for r in rows if r.kind == 1]
+
+
+def test_pairs_of_one_group_are_not_all_verified(spark, monkeypatch):
+    # two groups of lines alike and strangers that are near both by their hashes; all pairs are given
+    rng = random.Random(37)
+    bases = [[f"{k}w{rng.randrange(10**6)}" for _ in range(20)] for k in range(2)]
+    texts = []
+    for i in range(40):
+        line = list(bases[i % 2])
+        line[rng.randrange(20)] = f"other{i}"
+        texts.append(" ".join(line))
+    texts += [sentence(rng, 20, 10**6) for _ in range(2)]
+    norm = spark.createDataFrame(list(enumerate(texts)), "h1 long, norm string")
+    pairs = spark.createDataFrame([(i, j, rng.randrange(30)) for i in range(42) for j in range(i)], "h1 long, other long, bits long")
+    seen, verify = [], lines.verified
+
+    def counted(t, some):
+        seen.append(some.distinct().count())
+        return verify(t, some)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    links = [lines.stored(spark.createDataFrame([(2 + i, i) for i in range(0, 38, 1) if i % 10 < 2], "a long, b long"), "test-links")]
+    groups = {r.node: r.component for r in lines.in_turns(norm, pairs, links).collect()}
+    assert groups == {i: i % 2 for i in range(40)}
+    # pairs between the two groups are all compared (400), and with the strangers (81), but not the 380 within one
+    assert sum(seen) <= 400 + 81 + 120
+
+
 def test_pairs_are_trimmed_together():
     rng = random.Random(19)
     rows = []
@@ -504,6 +543,10 @@ def test_letter_counts_part_strangers_only(spark):
                 parted += 1
                 assert edit_distance(norm[i], norm[j]) > most
     assert parted > 1000
+    # other letters are counted too, if all versions of Unicode know them
+    *_, count0, count1 = lines.hashed_lines([(0, 0, "größe straße über allen\nгоры и долины\n漢字 漢字")], counted=True)
+    assert ((count0 != 0) | (count1 != 0)).tolist() == [True, True, False]
+    *_, count0, count1 = (x for p in lines.segments(texts) for x in lines.hashed_lines(p, counted=True))
     # lines that the letters part leave no pair, though their SimHashes are the same
     rows = [(9, 1, 7, 7, 40, int(count0[0]), int(count1[0])), (9, 2, 7, 7, 40, *(x - 2**64 if x >> 63 else x for x in (0x4444444444, 0x4444444444)))]
     classes = spark.createDataFrame(rows, "n int, h1 long, sim long, duo long, chars int, count0 long, count1 long")
