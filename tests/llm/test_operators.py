@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcast.llm import chat, decontamination, embeddings, jaccard, lines, packed, packing, passages, secrets, substrings, toxicity
+from loomcast.llm import chat, components, decontamination, embeddings, jaccard, lines, packed, packing, passages, secrets, substrings, toxicity
 from loomcast.llm.common import hold, lean, words_of
 from loomcast.llm.components import connected_components
 
@@ -70,6 +70,36 @@ def test_components(spark):
     assert connected_components(df.where("a < 0")).count() == 0
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(components, "stored", lambda df, tag, put=components.stored: steps.append(tag) or put(df, tag))
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(300)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)]
+    rng.shuffle(edges)
+    df, want = spark.createDataFrame(edges, "a long, b long"), groups_of(edges, {x for a, b in edges if a != b for x in (a, b)})
+    assert {r.node: r.component for r in connected_components(df).collect()} == want
+    assert len(steps) == 1  # these edges lie in one task
+    steps.clear()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = connected_components(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert len(steps) > 1
+
+
+def test_parts_of_a_task_are_told_apart(monkeypatch):
+    monkeypatch.setattr(components, "HELD", 4)
+    monkeypatch.setattr(components, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 7})())}))
+    whole = pa.record_batch([pa.array([2, 4, 6, 8, 9]), pa.array([1, 3, 5, 7, 8])], names=["a", "b"])
+    more = pa.record_batch([pa.array([3, 11]), pa.array([2, 10])], names=["a", "b"])
+    out = [row for batch in components._tied(iter([whole, more])) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert {t for *_, t in out} == {7, 7 + (1 << 32)}
+    ends = {x for a, b, _ in out for x in (a, b)}
+    assert groups_of([x[:2] for x in out], ends) == groups_of([(2, 1), (4, 3), (6, 5), (8, 7), (9, 8), (3, 2), (11, 10)], ends)
+
+
 def test_packed_round_trip():
     arrays = [np.array([5, -9, 2**62]), np.array([1, 2], np.uint64), np.zeros((3, 4), np.uint8), np.array([], np.int64), np.array([-3, 200])]
     back = packed.load(packed.dump(*arrays))
