@@ -428,9 +428,9 @@ def readable_frames(spark, d):
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The event table as a file stream of mentions."""
+    """The event table, a file or a folder of files, as a file stream of mentions (a stream takes one file as a pattern only)."""
     kind = S.table(spark, d, "events").schema
-    raw = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    raw = spark.readStream.schema(kind).parquet(f"{d.rstrip('/')}/events.parque[t]")
     return raw.select((F.col("user_id") % 4).alias("video_id"), F.col("event_type").alias("entity_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("start"))
 
 
