@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcast.llm import chat, components, decontamination, embeddings, jaccard, lines, packed, packing, passages, secrets, substrings, toxicity
+from loomcast.llm import chat, common, components, decontamination, embeddings, jaccard, lines, packed, packing, passages, secrets, substrings, toxicity
 from loomcast.llm.common import hold, lean, words_of
 from loomcast.llm.components import connected_components
 
@@ -778,6 +778,20 @@ def test_compact_windows_are_cartesian_nodes():
     assert {(p, a, b) for p, a, b in zip(place.tolist(), low.tolist(), high.tolist(), strict=True)} == {(c, min(s), max(s)) for c, s in want.items()}
 
 
+def test_texts_are_hashed_together(monkeypatch):
+    rng = random.Random(12)
+    texts = [None, "", "a", "a b c d", "a b c d e", " \n ", "ÉÉ é\ud800 x", *(f" {sentence(rng, rng.randrange(40))}\n" for _ in range(300)), sentence(rng, 3000)]
+    want = [common.shingle_hashes(common.word_hashes(t.encode("utf-8", "surrogatepass")), passages.SHINGLE) if t else np.zeros(0, np.uint64) for t in texts]
+    calls = []
+    monkeypatch.setattr(common, "word_spans", lambda raw, spans=common.word_spans: calls.append(raw) or spans(raw))
+    got = passages.token_lists(texts)
+    assert len(got) == len(texts) and all(x.dtype == y.dtype and (x == y).all() and len(x) == len(y) for x, y in zip(got, want, strict=True))
+    assert len(calls) == 1
+    monkeypatch.setattr(passages, "JOINED", 100)
+    assert all(len(x) == len(y) and (x == y).all() for x, y in zip(passages.token_lists(texts), want, strict=True))
+    assert passages.token_lists([]) == []
+
+
 def test_chains_of_a_passage_repeated_often():
     # under two hashes, one window of document 1 meets twenty of document 2, either way round
     got = np.array([(1, 2, k, k, 5 + k, 100 * i + 5 + k, 0, 100 * i, 10, 100 * i + 10) for k in range(2) for i in range(20)], np.int64).T
