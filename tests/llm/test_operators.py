@@ -616,6 +616,31 @@ def test_distances_by_rows_of_bits():
         assert [lines.within(a, b, k) for k in range(d + 2)] == [k >= d for k in range(d + 2)]
 
 
+def test_pairs_are_decided_together(monkeypatch):
+    rng = random.Random(15)
+    pairs = []
+    for i in range(400):
+        x = "".join(rng.choice("abcé𝛼"[: 2 + i % 4]) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 128, 200])))
+        y = list(x)
+        for _ in range(rng.randrange(60)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = [rng.choice("abcdé")] * rng.randrange(3)
+        pairs.append((x, "".join(y)) if i % 10 else ("a" * 130, "a" * rng.randrange(200)))
+    texts = [lines.codes("".join(c)) for c in zip(*pairs, strict=True)]
+    size = [np.array([len(t) for t in c]) for c in zip(*pairs, strict=True)]
+    at = [np.cumsum(n) - n for n in size]
+    d = np.array([edit_distance(x, y) for x, y in pairs])
+    for more in (-1, 0, 1):
+        got = lines.edits_within(texts[0], texts[1], at[0], size[0], at[1], size[1], d + more)
+        assert (got == (more >= 0)).all()
+    # pairs of lines that are not long take no loop of their own
+    monkeypatch.setattr(lines, "within", None)
+    rows = [(i, -i, x + "z", y + "z") for i, (x, y) in enumerate(pairs)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["h1", "other", "mine", "theirs"])
+    got = {tuple(r.values())[:4] for out in lines.trimmed(iter([batch])) for r in out.to_pylist()}
+    assert got == {(i, j, "", "") for i, j, x, y in rows if d[i] <= int(max(len(x), len(y)) * 0.2 + 1e-9)}
+
+
 def test_lines_of_some_edits_meet_as_by_brute_force(spark):
     rng = random.Random(21)
     vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 5, 7, 9]))) for _ in range(300)]
